@@ -44,48 +44,74 @@ def previous_values(
     return joined.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
 
 
-def prior_aggregates(
+def prior_levels(
     df: DataFrame,
     keys: Sequence[str],
+    levels: Mapping[str, Sequence[str]],
     order: Sequence[str],
     chunk: Column,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     inclusive: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Running sums and maxima of each group over earlier rows only (or up to the row when ``inclusive``).
+    """Running sums and maxima over earlier rows, at several grouping levels from one pass over the rows.
 
-    Sums over no rows are 0, maxima over no rows are null.
+    ``levels`` maps a prefix to its group keys: ``keys`` plus columns that are constant inside a chunk (the date of an
+    hourly chunk, say). All levels share the scan inside the chunks and differ only in how the small chunk table is
+    accumulated, so the rows are shuffled once. ``source`` may name a cheaper frame with the same rows for the chunk
+    table. Sums over no rows are 0, maxima over no rows are null.
     """
     keys, order = list(keys), list(order)
     sums, maxes = dict(sums or {}), dict(maxes or {})
+    extra = sorted({c for cols in levels.values() for c in cols} - set(keys))
     base = df.withColumn(CHUNK, chunk)
-    totals = base.groupBy(*keys, CHUNK).agg(
+    totals = (df if source is None else source).withColumn(CHUNK, chunk).groupBy(*keys, *extra, CHUNK).agg(
         *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"_t_{n}") for n, c in maxes.items()],
     )
-    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys,
-        CHUNK,
-        *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
-        *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in maxes],
-    )
+    carries = []
+    for prefix, cols in levels.items():
+        earlier = W.partitionBy(*cols).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        carries += [F.sum(f"_t_{n}").over(earlier).alias(f"_c_{prefix}{n}") for n in sums]
+        carries += [F.max(f"_t_{n}").over(earlier).alias(f"_c_{prefix}{n}") for n in maxes]
+    carry = totals.select(*keys, CHUNK, *carries)
     end = 0 if inclusive else -1
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
     joined = base.join(carry, [*keys, CHUNK], "left")
+    joined = joined.select(
+        "*",
+        *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{n}") for n, c in sums.items()],
+        *[F.max(c).over(inside).alias(f"_i_{n}") for n, c in maxes.items()],
+    )
     outs = []
-    for n, c in sums.items():
-        zero = F.lit(0)
-        outs.append((F.coalesce(F.sum(c).over(inside), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n))
-    for n, c in maxes.items():
-        outs.append(F.greatest(F.max(c).over(inside), F.col(f"_c_{n}")).alias(n))
+    for prefix in levels:
+        outs += [
+            (F.col(f"_i_{n}") + F.coalesce(F.col(f"_c_{prefix}{n}"), F.lit(0))).alias(f"{prefix}{n}") for n in sums
+        ]
+        outs += [F.greatest(f"_i_{n}", f"_c_{prefix}{n}").alias(f"{prefix}{n}") for n in maxes]
     return joined.select(*df.columns, *outs)
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str) -> DataFrame:
+def prior_aggregates(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    sums: Mapping[str, Column] | None = None,
+    maxes: Mapping[str, Column] | None = None,
+    inclusive: bool = False,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Running sums and maxima of each group over earlier rows only (or up to the row when ``inclusive``)."""
+    return prior_levels(df, keys, {"": keys}, order, chunk, sums, maxes, inclusive, source)
+
+
+def row_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str, source: DataFrame | None = None
+) -> DataFrame:
     """0-based position of each row in its group."""
-    return prior_aggregates(df, keys, order, chunk, sums={name: F.lit(1)})
+    return prior_aggregates(df, keys, order, chunk, sums={name: F.lit(1)}, source=source)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], chunk: Column, name: str) -> DataFrame:
@@ -114,6 +140,7 @@ def trailing_means(
     value: str,
     windows: Mapping[str, int],
     block_rows: int = 1_000_000,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of ``value`` over the previous N rows of the group, current row excluded, for each name -> N.
 
@@ -122,7 +149,7 @@ def trailing_means(
     """
     keys = list(keys)
     halo = max(windows.values())
-    placed = row_index(df, keys, order, chunk, "_pos")
+    placed = row_index(df, keys, order, chunk, "_pos", source)
     block = F.floor(F.col("_pos") / block_rows)
     near_end = F.col("_pos") % block_rows >= block_rows - halo
     blocks = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))

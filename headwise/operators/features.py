@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from headwise import settings as S
 from headwise.functions import scalars as X
 from headwise.functions.quantiles import exact_quantiles
-from headwise.functions.scans import previous_values, prior_aggregates, trailing_means, with_group
+from headwise.functions.scans import previous_values, prior_aggregates, prior_levels, trailing_means, with_group
 
 NOISE = 1e-12  # variance below this share of the mean square is rounding noise
 
@@ -156,22 +156,39 @@ def static_attributes(df: DataFrame, routes: DataFrame) -> DataFrame:
     return df.join(attrs, "route_id", "left")
 
 
+def _moments(value: str) -> dict[str, Column]:
+    v = F.col(value).cast("double")
+    return {"_s": v, "_q": v * v, "_n": F.lit(1)}
+
+
+def _mean_std_count(prefix: str, out: str) -> dict[str, Column]:
+    """Mean, population std and count from running moments; null mean and std where there is no earlier row."""
+    mean, square = X.ratio(f"{prefix}_s", f"{prefix}_n"), X.ratio(f"{prefix}_q", f"{prefix}_n")
+    var = square - mean * mean
+    std = F.when(var <= square * NOISE, 0.0).otherwise(F.sqrt(F.greatest(var, X.dbl(0.0))))
+    return {
+        f"{out}_mean": mean,
+        f"{out}_std": F.when(F.col(f"{prefix}_n") > 0, std),
+        f"{out}_count": F.col(f"{prefix}_n"),
+    }
+
+
 def prior_stats(
     df: DataFrame, keys: Sequence[str], value: str, prefix: str, order: Sequence[str], chunk: Column
 ) -> DataFrame:
     """Expanding mean, population std and count over strictly earlier rows of the group."""
-    v = F.col(value).cast("double")
-    out = prior_aggregates(df, keys, order, chunk, sums={"_s": v, "_q": v * v, "_n": F.lit(1)})
-    mean = X.ratio("_s", "_n")
-    square = X.ratio("_q", "_n")
-    var = square - mean * mean
-    std = F.when(var <= square * NOISE, 0.0).otherwise(F.sqrt(F.greatest(var, X.dbl(0.0))))
-    return out.select(
-        *df.columns,
-        mean.alias(f"{prefix}_mean"),
-        F.when(F.col("_n") > 0, std).alias(f"{prefix}_std"),
-        F.col("_n").alias(f"{prefix}_count"),
-    )
+    out = prior_aggregates(df, keys, order, chunk, sums=_moments(value))
+    return out.select(*df.columns, *[c.alias(n) for n, c in _mean_std_count("", prefix).items()])
+
+
+def prior_stats_levels(
+    df: DataFrame, keys: Sequence[str], levels: Mapping[str, Sequence[str]], value: str, order: Sequence[str],
+    chunk: Column, source: DataFrame | None = None,
+) -> DataFrame:
+    """``prior_stats`` at several levels (prefix -> keys) that share their base keys, in one pass over the rows."""
+    out = prior_levels(df, keys, levels, order, chunk, sums=_moments(value), source=source)
+    cols = [c.alias(n) for level in levels for n, c in _mean_std_count(level, level).items()]
+    return out.select(*df.columns, *cols)
 
 
 def prior_max(df: DataFrame, keys: Sequence[str], value: str, name: str, order: Sequence[str], chunk: Column) -> DataFrame:
@@ -236,12 +253,14 @@ def days_since_flag(calendar: DataFrame, date: str, flag: str, name: str, none:
 
 
 def history_frame(
-    trip_facts: DataFrame, calendar: DataFrame, route_zones: DataFrame, events: DataFrame, chunk: Column,
-    t: S.Thresholds = S.DEFAULTS,
+    trip_facts: DataFrame, trips: DataFrame, calendar: DataFrame, route_zones: DataFrame, events: DataFrame,
+    chunk: Column, t: S.Thresholds = S.DEFAULTS,
 ) -> DataFrame:
     """Trip-level training frame: encodings, weather, schedule pressure, events and expanding history.
 
-    Every history column uses strictly earlier departures; ``chunk`` follows the departure clock.
+    Every history column uses strictly earlier departures. ``chunk`` follows the departure clock and is no coarser
+    than an hour, so that date, band and peak flag are constant inside it. ``trips`` holds the same rows with only the
+    keys, clock and delay; the small chunk tables are built from it.
     """
     order = ["us", "trip_id"]
     delay = "departure_delay_min"
@@ -268,45 +287,43 @@ def history_frame(
     df = headway_pressure(df, ["route_id"], "scheduled_headway_min")
     df = event_effects(df, route_zones, events)
 
-    day = ["route_id", "date"]
-    df = prior_stats(df, day, delay, "route_date_prior_delay", order, chunk)
-    df = prior_max(df, day, delay, "route_date_prior_delay_max", order, chunk)
-    df = df.withColumnRenamed("route_date_prior_delay_count", "route_date_prior_trip_count")
-    for keys, prefix in (
-        (["route_id", "date", "is_peak"], "route_date_peak_prior_delay"),
-        (["vehicle_id", "date"], "vehicle_date_prior_delay"),
-        (["vehicle_id"], "vehicle_prior_delay"),
-        (["route_id", "time_band"], "route_timeband_prior_delay"),
-        (["route_id", "weather"], "route_weather_prior_delay"),
-    ):
-        df = prior_stats(df, keys, delay, prefix, order, chunk).drop(f"{prefix}_std", f"{prefix}_count")
-    df = prior_stats(df, ["date"], delay, "network_prior_delay", order, chunk).drop("network_prior_delay_std")
-    df = df.withColumnRenamed("network_prior_delay_count", "network_prior_trip_count")
-
+    # one pass per base key; the levels of a pass differ only in the small chunk table
+    route_levels = {
+        "route_prior_delay": ["route_id"],
+        "route_date_prior_delay": ["route_id", "date"],
+        "route_date_peak_prior_delay": ["route_id", "date", "is_peak"],
+        "route_timeband_prior_delay": ["route_id", "time_band"],
+    }
     v = F.col(delay).cast("double")
-    df = prior_aggregates(
-        df, ["route_id"], order, chunk,
-        sums={
-            "_s": v, "_q": v * v, "_n": F.lit(1),
-            "_ok": (v <= t.on_time_max).cast("long"), "_late": (v > t.moderate_max).cast("long"),
-        },
+    flags = {"_ok": (v <= t.on_time_max).cast("long"), "_late": (v > t.moderate_max).cast("long")}
+    width = df.columns
+    df = prior_levels(
+        df, ["route_id"], route_levels, order, chunk, sums={**_moments(delay), **flags}, maxes={"_max": v}, source=trips
+    )
+    cols = {n: c for level in route_levels for n, c in _mean_std_count(level, level).items()}
+    cols |= {
+        "route_date_prior_delay_max": F.col("route_date_prior_delay_max"),
+        "route_prior_on_time_rate": X.ratio("route_prior_delay_ok", "route_prior_delay_n"),
+        "route_prior_moderate_plus_rate": X.ratio("route_prior_delay_late", "route_prior_delay_n"),
+    }
+    df = df.select(*width, *[c.alias(n) for n, c in cols.items()])
+    vehicle = {"vehicle_prior_delay": ["vehicle_id"], "vehicle_date_prior_delay": ["vehicle_id", "date"]}
+    df = prior_stats_levels(df, ["vehicle_id"], vehicle, delay, order, chunk, trips)
+    weather = {"route_weather_prior_delay": ["route_id", "weather"]}
+    df = prior_stats_levels(df, ["route_id", "weather"], weather, delay, order, chunk, trips)
+    df = prior_stats_levels(df, ["date"], {"network_prior_delay": ["date"]}, delay, order, chunk, trips)
+    df = df.withColumnsRenamed(
+        {"route_date_prior_delay_count": "route_date_prior_trip_count", "network_prior_delay_count": "network_prior_trip_count"}
     )
-    mean, square = X.ratio("_s", "_n"), X.ratio("_q", "_n")
-    var = square - mean * mean
-    std = F.when(var <= square * NOISE, 0.0).otherwise(F.sqrt(F.greatest(var, X.dbl(0.0))))
-    df = df.withColumns(
-        {
-            "route_prior_delay_mean": mean,
-            "route_prior_delay_std": F.when(F.col("_n") > 0, std),
-            "route_prior_delay_count": F.col("_n"),
-            "route_prior_on_time_rate": X.ratio("_ok", "_n"),
-            "route_prior_moderate_plus_rate": X.ratio("_late", "_n"),
-        }
-    ).drop("_s", "_q", "_n", "_ok", "_late")
     df = df.withColumn("route_prior_delay_p90", p90_proxy("route_prior_delay_mean", "route_prior_delay_std"))
-    return rolling_prior_means(
-        df, ["route_id"], delay, {"route_prior_delay_rolling7": 7, "route_prior_delay_rolling28": 28}, order, chunk
+    df = df.drop(
+        "route_date_peak_prior_delay_std", "route_date_peak_prior_delay_count", "route_timeband_prior_delay_std",
+        "route_timeband_prior_delay_count", "vehicle_prior_delay_std", "vehicle_prior_delay_count",
+        "vehicle_date_prior_delay_std", "vehicle_date_prior_delay_count", "route_weather_prior_delay_std",
+        "route_weather_prior_delay_count", "network_prior_delay_std",
     )
+    rolling = {"route_prior_delay_rolling7": 7, "route_prior_delay_rolling28": 28}
+    return trailing_means(df, ["route_id"], order, chunk, delay, rolling, source=trips)
 
 
 def occupancy_features(trips: DataFrame) -> DataFrame:

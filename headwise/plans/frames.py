@@ -39,6 +39,7 @@ def route_zones(spark: SparkSession, root: str) -> DataFrame:
 def history(spark: SparkSession, root: str) -> DataFrame:
     return Fe.history_frame(
         trip_facts(spark, root),
+        star.trips_core(spark, root),
         star.trip_calendar(spark, root),
         route_zones(spark, root),
         star.trip_events(spark, root),
