@@ -269,3 +269,129 @@ def passengers(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("c_acctbal") >= 0, (F.col("c_custkey") % 73 + 1940).cast("double")).alias("birth_year"),
         F.floor(F.col("c_acctbal") / 20).cast("string").alias("annual_trips"),
     )
+
+
+# Raw tables: the same sources as they might be delivered, with spelling variants, gaps and copies.
+TRIP_ORDER = ("seat_ref", "vehicle_id", "departure_delay_min", "boardings", "distance_km")
+VISIT_ORDER = ("stop_ref_order", "visit_ref", "arr_delay_min", "boarded")
+TICKET_ORDER = ("part_ref", "alighting_ref", "fare_order", "distance_order")
+
+
+def route_names(spark: SparkSession, root: str) -> DataFrame:
+    """The twenty canonical route ids that the raw trips refer to."""
+    o = table(spark, root, "orders").select((F.col("o_custkey") % 20).alias("n")).distinct()
+    return o.select(F.concat(F.lit("R-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("route_id"))
+
+
+def _messy(number: Column, spelling: Column, prefix: str, width: int) -> Column:
+    """One of four spellings of an id, or an unknown id."""
+    digits = F.lpad(number.cast("string"), width, "0")
+    return (
+        F.when(spelling == 0, F.concat(F.lit(f"{prefix}-"), digits))
+        .when(spelling == 1, F.concat(F.lit(prefix.lower()), digits))
+        .when(spelling == 2, F.concat(F.lit(f" {prefix} "), digits))
+        .when(spelling == 3, F.concat(F.lit(prefix), digits))
+        .otherwise(F.lit("?"))
+    )
+
+
+def raw_trips(spark: SparkSession, root: str) -> DataFrame:
+    """One row per order line: ids in four spellings or unknown, copies of trip_id, text times and measures."""
+    li = table(spark, root, "lineitem")
+    q, price = F.col("l_quantity"), F.col("l_extendedprice")
+    stamp = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    route = _messy(F.col("l_suppkey") % 20, F.when(F.col("l_tax") == 0.08, 9).otherwise(F.col("l_linenumber") % 4), "R", 3)
+    weather = F.element_at(
+        F.array(*[F.lit(w) for w in ("rainy", "clearr", "snow", "thunderstorm", "fog", "clear", "rain")]), F.col("l_linenumber")
+    )
+    day_type = F.when(F.col("l_linestatus") == "O", "wknd").when(F.col("l_returnflag") == "R", "holliday").otherwise("weekday")
+    return li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trip_id"),
+        route.alias("route_id"),
+        F.when(F.col("l_discount") == 0.03, None).otherwise(F.col("l_partkey")).alias("vehicle_id"),
+        F.when(F.col("l_discount") == 0.0, "unknown").otherwise(stamp).alias("scheduled_departure"),
+        F.when(F.col("l_tax") != 0.0, stamp).alias("actual_departure"),
+        F.when(F.col("l_discount") == 0.1, "n/a").otherwise((price / 1000 - 5).cast("string")).alias("departure_delay_min"),
+        F.when(F.col("l_tax") != 0.02, q * 5).alias("occupancy_max_pct"),
+        F.when(F.col("l_tax") != 0.05, q * 3).alias("occupancy_avg_pct"),
+        (q * 10 - 50).alias("boardings"),
+        (q * 9 - 30).alias("alightings"),
+        q.alias("distance_km"),
+        (q + 20).alias("scheduled_travel_min"),
+        (q + 22).alias("actual_travel_min"),
+        F.lit(None).cast("int").alias("capacity"),
+        day_type.alias("day_type"),
+        weather.alias("weather"),
+        F.col("l_suppkey").alias("seat_ref"),
+    )
+
+
+def vehicle_pools(spark: SparkSession, root: str) -> DataFrame:
+    """Vehicles of each route, in pool order."""
+    c = table(spark, root, "customer")
+    name = F.concat(F.lit("R-"), F.lpad((F.col("c_custkey") % 20).cast("string"), 3, "0"))
+    return c.select(name.alias("route_id"), F.col("c_custkey").alias("vehicle_id"), F.col("c_custkey").alias("pool_order"))
+
+
+def raw_visits(spark: SparkSession, root: str) -> DataFrame:
+    """Stop visits with spelling variants, missing arrivals and text measures."""
+    li = table(spark, root, "lineitem")
+    q = F.col("l_quantity")
+    stop = _messy(F.col("l_partkey"), F.when(F.col("l_tax") == 0.08, 9).otherwise(F.col("l_linenumber") % 4), "S", 7)
+    stamp = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    return li.select(
+        F.col("l_orderkey").alias("trip_id"),
+        F.col("l_linenumber").alias("seq"),
+        stop.alias("stop_id"),
+        F.when(F.col("l_discount") != 0.04, stamp).alias("scheduled_arrival"),
+        F.when(F.col("l_tax") != 0.01, stamp).otherwise(F.lit("lost")).alias("actual_arrival"),
+        F.when(F.col("l_discount") == 0.06, "n/a").otherwise((F.col("l_extendedprice") / 500 - 20).cast("string")).alias("arr_delay_min"),
+        q.alias("boarded"),
+        F.when(F.col("l_discount") == 0.02, None).otherwise(q * (F.lit(1) - F.lit(5) * F.col("l_discount"))).alias("alighted"),
+        F.col("l_partkey").alias("stop_ref_order"),
+        F.col("l_suppkey").alias("visit_ref"),
+    )
+
+
+def stop_names(spark: SparkSession, root: str) -> DataFrame:
+    p = table(spark, root, "part")
+    return p.select(F.concat(F.lit("S-"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("stop_id"))
+
+
+def valid_trips(spark: SparkSession, root: str) -> DataFrame:
+    """Trips that ran (orders not pending), with route and capacity."""
+    return order_trips(spark, root).where(F.col("trip_status") != "P").select(
+        "trip_id", "route_id", (F.col("route_id") * 4 + 20).alias("capacity")
+    )
+
+
+def raw_tickets(spark: SparkSession, root: str) -> DataFrame:
+    """Tickets with copies, a route of their own, unparsable times, impossible intervals and missing measures."""
+    li = table(spark, root, "lineitem")
+    o = table(spark, root, "orders")
+    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    minutes = F.floor(F.col("l_extendedprice") / 1000 - 10).cast("long")
+    start = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("l_linenumber").cast("long") * 10_800_000_000
+    pass_type = F.when(F.col("o_orderpriority") == "1-URGENT", "single").when(
+        F.col("o_orderpriority") == "2-HIGH", "day"
+    ).when(F.col("o_orderpriority") == "3-MEDIUM", "weekly").when(F.col("o_orderpriority") == "5-LOW", "monthly").otherwise("season")
+
+    def stamp(us: Column) -> Column:
+        return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss")
+
+    return joined.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ticket_id"),
+        F.col("l_orderkey").alias("trip_id"),
+        (F.col("l_suppkey") % 20).alias("route_id"),
+        F.when(F.col("l_tax") == 0.03, None).otherwise(F.col("o_custkey")).alias("passenger_id"),
+        F.when(F.col("l_tax") == 0.01, "??").otherwise(stamp(start)).alias("boarding_datetime"),
+        stamp(start + minutes * 60_000_000).alias("alighting_datetime"),
+        F.when(F.col("l_discount") != 0.05, (F.col("l_quantity") * 3).cast("string")).alias("distance_km"),
+        F.when(F.col("l_discount") == 0.07, "free").otherwise((F.col("l_extendedprice") / 50).cast("string")).alias("fare"),
+        (F.col("l_extendedprice") / 200).alias("travel_min"),
+        pass_type.alias("pass_type"),
+        F.col("l_partkey").alias("part_ref"),
+        F.col("l_suppkey").alias("alighting_ref"),
+        F.col("l_extendedprice").alias("fare_order"),
+        F.col("l_quantity").alias("distance_order"),
+    )

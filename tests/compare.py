@@ -23,8 +23,10 @@ def _key(v):
         return (0, "")
     if isinstance(v, bool):
         return (1, float(v))
-    if isinstance(v, (int, float)):
-        return (1, float(f"{float(v):.5g}"))
+    if isinstance(v, int):
+        return (1, float(v))
+    if isinstance(v, float):
+        return (1, float(f"{v:.5g}"))
     return (2, str(v))
 
 
