@@ -8,7 +8,7 @@ are then counted and ordered. The answer is exact (linear interpolation), the br
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,9 +27,14 @@ def exact_quantiles(
     probs: Mapping[str, float],
     accuracy: int = ACCURACY,
     small_group: int = SMALL_GROUP,
+    aggs: Sequence[Column] = (),
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (name -> probability). Null values are ignored.
 
+    ``aggs`` are further aggregates of the same groups, computed in the sketch pass. ``keep(df, name)`` may persist the
+    one-row-per-group result of that pass, which the second pass and the final join would otherwise compute again.
+
     Pass 1 sketches each group (bounded state, merged map-side) for a value bracket of +-(1/small_group + 3/accuracy)
     in rank around each probability; groups of at most ``small_group`` rows take their full range.
     Pass 2 counts values: everything below the bracket collapses to one counter per map task, everything above is
@@ -55,9 +60,14 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[dbl(c) for c in cuts]), F.lit(accuracy)).alias("_cut"),
     ]
+    names_of = [f"_lo{i}" for i in range(len(names))] + [f"_hi{i}" for i in range(len(names))]
     if keys:
-        summary = rows.groupBy(*keys).agg(*sketch).select(*keys, "_n", *brackets)
-        joined = rows.join(summary, keys)
+        grouped = df.withColumn("_v", col(value).cast("double")).groupBy(*keys).agg(*aggs, *sketch)
+        extra = [c for c in grouped.columns if c not in {*keys, "_n", "_min", "_max", "_cut"}]
+        base = grouped.select(*keys, *extra, "_n", *brackets)
+        if keep is not None:
+            base = keep(base, "group_sketches")
+        joined = rows.join(base.select(*keys, "_n", *names_of), keys)
     else:
         summary = rows.agg(*sketch).select(F.struct("_n", *brackets).alias("_s"))
         joined = rows.select("_v", summary.scalar().alias("_s")).select("_v", "_s.*")
@@ -92,9 +102,10 @@ def exact_quantiles(
         F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
     )
     picked = picked.withColumn("_q", exact)
-    return picked.groupBy(*keys).agg(
+    result = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
     )
+    return base.select(*keys, *extra).join(result, keys, "left") if keys and extra else result
 
 
 def exact_quantile_scalar(df: DataFrame, value: Column | str, p: float) -> Column:

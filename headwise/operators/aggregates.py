@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +15,7 @@ from headwise.functions.scans import global_rank
 from headwise.operators.features import calendar_windows
 
 T = S.DEFAULTS
+Keep = Callable[[DataFrame, str], DataFrame] | None
 SCHED, ACTUAL, DELAY = "scheduled_headway_min", "actual_headway_min", "departure_delay_min"
 
 
@@ -34,10 +35,10 @@ def late() -> Column:
     return F.col("delay_severity").isin("severe", "critical")
 
 
-def route_base(trips: DataFrame, t: S.Thresholds = T) -> DataFrame:
+def route_base(trips: DataFrame, t: S.Thresholds = T, keep: Keep = None) -> DataFrame:
     """Counts, means, shares and headway spread per route, in one aggregation plus the exact 90th percentile."""
     n_valid = F.greatest(X.count_if(valid_headway(t)), F.lit(1))
-    base = trips.groupBy("route_id").agg(
+    aggs = [
         F.count(F.lit(1)).alias("trips"),
         F.avg(DELAY).alias("avg_delay_min"),
         X.share(F.col("on_time")).alias("on_time_share"),
@@ -55,9 +56,8 @@ def route_base(trips: DataFrame, t: S.Thresholds = T) -> DataFrame:
         X.share(F.col(DELAY).between(-t.adherence_minutes, t.adherence_minutes)).alias("adherence_share"),
         (X.count_if(bunched(t)) / n_valid).alias("bunching_share"),
         (X.count_if(gapped(t)) / n_valid).alias("gapping_share"),
-    )
-    p90 = exact_quantiles(trips, ["route_id"], DELAY, {"p90_delay_min": 0.9})
-    return base.join(p90, "route_id", "left")
+    ]
+    return exact_quantiles(trips, ["route_id"], DELAY, {"p90_delay_min": 0.9}, aggs=aggs, keep=keep)
 
 
 def bunching_shares(trips: DataFrame, t: S.Thresholds = T) -> DataFrame:
@@ -125,14 +125,17 @@ def route_reference(trip_facts: DataFrame, routes: DataFrame) -> DataFrame:
     return attrs.join(routes.select("route_id", "route_name"), "route_id", "left")
 
 
-def route_metrics(trips: DataFrame, rides: DataFrame, reference: DataFrame, t: S.Thresholds = T) -> DataFrame:
-    """The full route scorecard."""
-    out = with_volume(route_base(trips, t), rides).join(reference, "route_id", "left")
+def route_metrics(
+    trips: DataFrame, rides: DataFrame, reference: DataFrame, t: S.Thresholds = T, keep: Keep = None
+) -> DataFrame:
+    """The full route scorecard. ``keep`` persists the per-route figures, which scoring and ranking read repeatedly."""
+    out = with_volume(route_base(trips, t, keep), rides).join(reference, "route_id", "left")
+    out = keep(out, "route_volume") if keep else out
     return rank_by_score(score_parts(out, t), "route_score", "route_id", "route_rank")
 
 
-def stop_base(visits: DataFrame, t: S.Thresholds = T) -> DataFrame:
-    base = visits.groupBy("stop_id").agg(
+def stop_base(visits: DataFrame, t: S.Thresholds = T, keep: Keep = None) -> DataFrame:
+    aggs = [
         F.count(F.lit(1)).alias("visits"),
         F.sum("boarded").alias("boardings"),
         F.sum("alighted").alias("alightings"),
@@ -141,9 +144,8 @@ def stop_base(visits: DataFrame, t: S.Thresholds = T) -> DataFrame:
         X.share(F.col("occupancy_after") >= t.crowding_high).alias("crowding_share"),
         F.avg("dwell_sec").alias("avg_dwell_sec"),
         F.avg("onboard_after").alias("peak_onboard_avg"),
-    )
-    p95 = exact_quantiles(visits, ["stop_id"], "arr_delay_min", {"p95_arr_delay_min": 0.95})
-    return base.join(p95, "stop_id", "left")
+    ]
+    return exact_quantiles(visits, ["stop_id"], "arr_delay_min", {"p95_arr_delay_min": 0.95}, aggs=aggs, keep=keep)
 
 
 def peak_hour(visits: DataFrame, key: str = "stop_id", hour: str = "hour", value: str = "boarded") -> DataFrame:
@@ -165,8 +167,9 @@ def bottlenecks(stop_frame: DataFrame, t: S.Thresholds = T) -> DataFrame:
     return out.withColumns({"is_bottleneck": F.col("bottleneck_score") >= cut, "is_terminal": F.col("visits") <= low})
 
 
-def stop_metrics(visits: DataFrame, stops: DataFrame, t: S.Thresholds = T) -> DataFrame:
-    out = stop_base(visits, t).join(peak_hour(visits), "stop_id", "left")
+def stop_metrics(visits: DataFrame, stops: DataFrame, t: S.Thresholds = T, keep: Keep = None) -> DataFrame:
+    out = stop_base(visits, t, keep).join(peak_hour(visits), "stop_id", "left")
+    out = keep(out, "stop_figures") if keep else out
     return bottlenecks(out, t).join(stops.select("stop_id", "stop_name", "zone"), "stop_id", "left")
 
 
@@ -498,11 +501,11 @@ def extreme_hours(trips: DataFrame, n: int = 3) -> DataFrame:
     return ranked.groupBy("route_id").agg(listed("_hi").alias("peak_hours"), listed("_lo").alias("offpeak_hours"))
 
 
-def reliability_profile(trips: DataFrame, t: S.Thresholds = T) -> DataFrame:
+def reliability_profile(trips: DataFrame, t: S.Thresholds = T, keep: Keep = None) -> DataFrame:
     """Reliability profile per route; rates in percent, population spread of the scheduled headway."""
     fits = F.col(SCHED) > t.min_valid_headway
     close = fits & (F.col(ACTUAL) < t.bunching_ratio * F.col(SCHED))
-    g = trips.groupBy("route_id").agg(
+    aggs = [
         F.count(F.lit(1)).alias("trips"),
         F.count_distinct("date").alias("active_days"),
         F.coalesce(F.avg(DELAY), X.dbl(0.0)).alias("avg_delay_min"),
@@ -511,9 +514,8 @@ def reliability_profile(trips: DataFrame, t: S.Thresholds = T) -> DataFrame:
         F.coalesce(F.stddev_pop(SCHED), X.dbl(0.0)).alias("headway_std"),
         (X.ratio(X.count_if(close), X.count_if(fits)) * 100).alias("bunching_rate"),
         F.avg("occupancy_max_pct").alias("avg_occupancy_max_pct"),
-    )
-    p90 = exact_quantiles(trips, ["route_id"], DELAY, {"p90_delay_min": 0.9})
-    out = g.join(p90, "route_id", "left")
+    ]
+    out = exact_quantiles(trips, ["route_id"], DELAY, {"p90_delay_min": 0.9}, aggs=aggs, keep=keep)
     out = out.withColumns(
         {
             "p90_delay_min": F.coalesce("p90_delay_min", X.dbl(0.0)),
@@ -537,11 +539,11 @@ def band_punctuality(visits: DataFrame, t: S.Thresholds = T) -> DataFrame:
 
 def fleet_profile(trip_facts: DataFrame, category: str = "vehicle_type", value: str = "occupancy_max_pct") -> DataFrame:
     """Load distribution per vehicle category, and mean trips per vehicle and day (two-level aggregation)."""
-    load = trip_facts.groupBy(category).agg(F.count(F.lit(1)).alias("trips"), F.avg(value).alias("mean_load"))
-    tails = exact_quantiles(trip_facts, [category], value, {"p90_load": 0.9, "p99_load": 0.99})
+    aggs = [F.count(F.lit(1)).alias("trips"), F.avg(value).alias("mean_load")]
+    load = exact_quantiles(trip_facts, [category], value, {"p90_load": 0.9, "p99_load": 0.99}, aggs=aggs)
     per_day = trip_facts.groupBy(category, "vehicle_id", "date").agg(F.count(F.lit(1)).alias("_n"))
     pace = per_day.groupBy(category).agg(F.avg("_n").alias("trips_per_vehicle_day"))
-    return load.join(tails, category).join(pace, category)
+    return load.join(pace, category)
 
 
 def trailing_baseline(daily: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

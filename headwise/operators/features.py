@@ -341,19 +341,19 @@ def occupancy_features(trips: DataFrame) -> DataFrame:
     return d.select("*", (F.col("weekday") >= 5).cast("int").alias("is_weekend_int"), *X.cyclical("weekday", 7, "weekday"))
 
 
-def delay_features(trips: DataFrame, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+def delay_features(trips: DataFrame, t: S.Thresholds = S.DEFAULTS, keep=None) -> DataFrame:
     """Per (route, date, band): delay level, tail, punctuality, headway spread, lags and trailing means, bunching."""
     keys = ["route_id", "date", "time_band"]
-    base = trips.groupBy(*keys).agg(
+    aggs = [
         F.avg("departure_delay_min").alias("avg_delay_min"),
         X.share(F.col("on_time")).alias("on_time_share"),
         F.avg("scheduled_headway_min").alias("avg_headway_min"),
         F.stddev_samp("scheduled_headway_min").alias("headway_std_min"),
         F.min_by("weather", F.struct("us", "trip_id")).alias("weather"),
         F.min_by("direction", F.struct("us", "trip_id")).alias("direction"),
-    )
-    p90 = exact_quantiles(trips, keys, "departure_delay_min", {"p90_delay_min": 0.9})
-    d = base.join(p90, keys, "left").withColumn("headway_cv", X.ratio("headway_std_min", "avg_headway_min"))
+    ]
+    d = exact_quantiles(trips, keys, "departure_delay_min", {"p90_delay_min": 0.9}, aggs=aggs, keep=keep)
+    d = d.withColumn("headway_cv", X.ratio("headway_std_min", "avg_headway_min"))
     w = W.partitionBy("route_id", "time_band").orderBy("date")
     series = {"avg_delay_min": "delay", "on_time_share": "on_time", "p90_delay_min": "p90"}
     d = d.select(

@@ -6,6 +6,7 @@ from headwise.operators import aggregates as A
 from headwise.plans import frames
 from headwise.plans.catalog import query
 from headwise.plans.oracle import GAPPED, BUNCHED, VALID
+from headwise.session import materialise
 from headwise.sources import star
 
 DATED = "SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM {view}"
@@ -13,7 +14,7 @@ DATED = "SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM {view}"
 
 @query("A01_route_base_metrics", "SELECT * EXCLUDE (bunching_share, gapping_share, severe_critical_share, adherence_share) FROM route_base")
 def _(spark, root):
-    return A.route_base(star.trips(spark, root)).drop(
+    return A.route_base(star.trips(spark, root), keep=materialise).drop(
         "bunching_share", "gapping_share", "severe_critical_share", "adherence_share"
     )
 
@@ -30,12 +31,12 @@ def _(spark, root):
 
 @query("A03_severe_and_adherence_share", "SELECT route_id, severe_critical_share, adherence_share FROM route_base")
 def _(spark, root):
-    return A.route_base(star.trips(spark, root)).select("route_id", "severe_critical_share", "adherence_share")
+    return A.route_base(star.trips(spark, root), keep=materialise).select("route_id", "severe_critical_share", "adherence_share")
 
 
 @query("A04_route_volume_revenue", "SELECT route_id, trips, passengers, revenue, avg_boardings_per_trip FROM route_volume")
 def _(spark, root):
-    base = A.with_volume(A.route_base(star.trips(spark, root)), star.raw_rides(spark, root))
+    base = A.with_volume(A.route_base(star.trips(spark, root), keep=materialise), star.raw_rides(spark, root))
     return base.select("route_id", "trips", "passengers", "revenue", "avg_boardings_per_trip")
 
 
@@ -44,7 +45,8 @@ def _(spark, root):
     "SELECT route_id, demand_score, reliability_score, occupancy_score, delay_score, adherence_score, bunching_score, route_score, route_class FROM route_scored",
 )
 def _(spark, root):
-    scored = A.score_parts(A.with_volume(A.route_base(star.trips(spark, root)), star.raw_rides(spark, root)))
+    base = A.with_volume(A.route_base(star.trips(spark, root), keep=materialise), star.raw_rides(spark, root))
+    scored = A.score_parts(materialise(base, "route_volume"))
     return scored.select(
         "route_id", "demand_score", "reliability_score", "occupancy_score", "delay_score", "adherence_score",
         "bunching_score", "route_score", "route_class",
@@ -285,7 +287,7 @@ def _(spark, root):
 
 @query("A35_route_reliability_profile", "SELECT * FROM reliability_profile")
 def _(spark, root):
-    return A.reliability_profile(star.trips(spark, root))
+    return A.reliability_profile(star.trips(spark, root), keep=materialise)
 
 
 @query(

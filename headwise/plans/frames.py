@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from headwise.functions.scans import micros_chunk
 from headwise.operators import aggregates as A
+from headwise.operators.alerts import build_alerts
 from headwise.operators import features as Fe
 from headwise.operators import joins as J
+from headwise.session import materialise
 from headwise.sources import star
 
+NOW = "2024-02-01T00:00:00"
+
 
 def route_dim(spark: SparkSession, root: str) -> DataFrame:
     return star.routes(spark, root).select("route_id", "category", "length_km", "route_name")
@@ -21,11 +25,13 @@ def trip_facts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def route_metrics(spark: SparkSession, root: str) -> DataFrame:
-    return A.route_metrics(star.trips(spark, root), star.raw_rides(spark, root), route_dim(spark, root))
+    return A.route_metrics(
+        star.trips(spark, root), star.raw_rides(spark, root), route_dim(spark, root), keep=materialise
+    )
 
 
 def stop_metrics(spark: SparkSession, root: str) -> DataFrame:
-    return A.stop_metrics(star.raw_stop_visits(spark, root), star.stops(spark, root))
+    return A.stop_metrics(star.raw_stop_visits(spark, root), star.stops(spark, root), keep=materialise)
 
 
 def daily_demand(spark: SparkSession, root: str) -> DataFrame:
@@ -55,3 +61,50 @@ def demand_frame(spark: SparkSession, root: str) -> DataFrame:
     keys = ["route_id", "time_band"]
     d = Fe.calendar_windows(Fe.calendar_lags(d, keys, "date", "boardings"), keys, "date", "boardings")
     return d.select("*", F.weekday("date").alias("weekday"), F.month("date").alias("month"))
+
+
+class Layer(dict):
+    """The analytics tables of a data folder, each built and written once on first use.
+
+    Decision operators read several of these tables several times; reading the written tables keeps every consumer a
+    scan of a small aggregate instead of a repeat of the fact-table work.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__()
+        self._spark, self._root = spark, root
+
+    def __missing__(self, name: str) -> DataFrame:
+        spark, root = self._spark, self._root
+        if name == "stop_facts":
+            df = star.stop_facts(spark, root)
+        elif name == "trips":
+            df = materialise(star.trips(spark, root), name)
+        else:
+            df = materialise(self._build(name), name)
+        self[name] = df
+        return df
+
+    def _build(self, name: str) -> DataFrame:
+        spark, root = self._spark, self._root
+        if name == "route_metrics":
+            return A.route_metrics(self["trips"], star.raw_rides(spark, root), route_dim(spark, root), keep=materialise)
+        if name == "overcrowding_events":
+            return A.overcrowding_events(star.trips_core(spark, root))
+        if name == "persistent_overcrowding":
+            return A.persistent_overcrowding(self["overcrowding_events"])
+        if name == "underutilization":
+            return A.underutilization(star.trips_core(spark, root))
+        if name == "bunching_events":
+            return A.bunching_events(self["trips"])
+        if name == "quality_days":
+            return A.quality_days(star.trips_core(spark, root))
+        if name == "stop_metrics":
+            return stop_metrics(spark, root)
+        if name == "daily_demand":
+            return daily_demand(spark, root)
+        if name == "anomalies":
+            return A.anomalies(self["daily_demand"])
+        if name == "alerts":
+            return build_alerts(self, now=NOW)
+        raise KeyError(name)
