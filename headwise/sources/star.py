@@ -395,3 +395,30 @@ def raw_tickets(spark: SparkSession, root: str) -> DataFrame:
         F.col("l_extendedprice").alias("fare_order"),
         F.col("l_quantity").alias("distance_order"),
     )
+
+
+def run_log(spark: SparkSession, root: str) -> DataFrame:
+    """A run log: one entry per event."""
+    e = table(spark, root, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.when(F.col("value") > 60, "failed").when(F.col("value") > 50, "warning").when(k == 7, "skipped").otherwise("ok")
+    return e.select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("action"),
+        F.concat(F.lit("component-"), (F.col("user_id") % 7).cast("string")).alias("component"),
+        status.alias("status"),
+        F.when(k != 0, F.col("value") * 10).alias("duration_ms"),
+    )
+
+
+def model_versions(spark: SparkSession, root: str) -> DataFrame:
+    """Version entries: one per customer, grouped under their market segment."""
+    c = table(spark, root, "customer")
+    return c.select(
+        F.concat(F.lit("v-"), F.col("c_custkey").cast("string")).alias("version_id"),
+        F.col("c_mktsegment").alias("model_name"),
+        F.when(F.col("c_custkey") % 2 == 0, "tree").otherwise("linear").alias("engine"),
+        F.timestamp_seconds(F.col("c_custkey") * 7919 % 100000 + 1704067200).alias("trained_at"),
+        F.col("c_acctbal").alias("metric"),
+    )
