@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +110,7 @@ class Layer(dict):
         if name == "alerts":
             return build_alerts(self, now=NOW)
         raise KeyError(name)
+
+
+def unique() -> str:
+    return uuid.uuid4().hex
