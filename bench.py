@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from headwise.plans.catalog import load
@@ -31,7 +30,6 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINT_DIR", tempfile.mkdtemp(prefix="headwise-bench-")),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

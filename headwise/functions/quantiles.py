@@ -32,12 +32,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (name -> probability). Null values are ignored.
 
-    ``aggs`` are further aggregates of the same groups, computed in the sketch pass. ``keep(df, name)`` may persist the
-    one-row-per-group result of that pass, which the second pass and the final join would otherwise compute again.
+    ``aggs`` are further aggregates of the same groups, computed in the first pass. ``keep(df, name)`` may persist the
+    one-row-per-group result of that pass, which the later passes and the final join would otherwise compute again.
 
-    Pass 1 sketches each group (bounded state, merged map-side) for a value bracket of +-(1/small_group + 3/accuracy)
-    in rank around each probability; groups of at most ``small_group`` rows take their full range.
-    Pass 2 counts values: everything below the bracket collapses to one counter per map task, everything above is
+    The first pass sizes the groups. Groups of at most ``small_group`` rows use Spark's own percentile, whose state they
+    bound; the passes for larger groups vanish at run time when there are none. A larger group is sketched (bounded
+    state, merged map-side) for a value bracket of +-(1/small_group + 3/accuracy) in rank around each probability. Then
+    its values are counted: everything below the bracket collapses to one counter per map task, everything above is
     dropped, and the values inside are counted by (key, value) before any ordering.
     """
     keys = list(keys)
@@ -48,43 +49,35 @@ def exact_quantiles(
     cuts = []
     for p in probs.values():
         cuts += [max(p - eps, 0.0), min(p + eps, 1.0)]
+    sketch = F.percentile_approx("_v", F.array(*[dbl(c) for c in cuts]), F.lit(accuracy)).alias("_cut")
     brackets = []
-    small = F.col("_n") <= small_group
     for i, p in enumerate(probs.values()):
-        lo = F.when(small | F.lit(p - eps <= 0.0), F.col("_min")).otherwise(F.col("_cut")[2 * i])
-        hi = F.when(small | F.lit(p + eps >= 1.0), F.col("_max")).otherwise(F.col("_cut")[2 * i + 1])
+        lo = F.col("_min") if p - eps <= 0.0 else F.col("_cut")[2 * i]
+        hi = F.col("_max") if p + eps >= 1.0 else F.col("_cut")[2 * i + 1]
+        if not keys:
+            lo, hi = (F.when(F.col("_n") <= small_group, F.col(m)).otherwise(c) for m, c in (("_min", lo), ("_max", hi)))
         brackets += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    sketch = [
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[dbl(c) for c in cuts]), F.lit(accuracy)).alias("_cut"),
-    ]
-    names_of = [f"_lo{i}" for i in range(len(names))] + [f"_hi{i}" for i in range(len(names))]
+    size = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     if keys:
-        grouped = df.withColumn("_v", col(value).cast("double")).groupBy(*keys).agg(*aggs, *sketch)
-        extra = [c for c in grouped.columns if c not in {*keys, "_n", "_min", "_max", "_cut"}]
-        base = grouped.select(*keys, *extra, "_n", *brackets)
-        if keep is not None:
-            base = keep(base, "group_sketches")
-        joined = rows.join(base.select(*keys, "_n", *names_of), keys)
+        grouped = df.withColumn("_v", col(value).cast("double")).groupBy(*keys).agg(*aggs, *size)
+        base = keep(grouped, "group_sizes") if keep is not None else grouped
+        extra = [c for c in base.columns if c not in {*keys, "_n", "_min", "_max"}]
+        large = base.where(F.col("_n") > small_group).select(*keys, "_n", "_min", "_max")
+        cutted = rows.join(large, keys).groupBy(*keys, "_n", "_min", "_max").agg(sketch)
+        joined = rows.join(cutted.select(*keys, "_n", *brackets), keys)
     else:
-        summary = rows.agg(*sketch).select(F.struct("_n", *brackets).alias("_s"))
+        summary = rows.agg(*size, sketch).select(F.struct("_n", *brackets).alias("_s"))
         joined = rows.select("_v", summary.scalar().alias("_s")).select("_v", "_s.*")
 
-    slots = F.array(*[
-        F.when(
-            F.col("_v") <= F.col(f"_hi{i}"),
-            F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v")).alias("_x")),
-        )
-        for i in range(len(names))
-    ])
-    counted = (
-        joined.select(*keys, "_n", F.explode(F.array_compact(slots)).alias("_p"))
-        .select(*keys, "_n", "_p._i", "_p._x")
-        .groupBy(*keys, "_n", "_i", "_x")
-        .count()
-    )
+    def slot(i: int) -> Column:
+        return F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v")).alias("_x"))
+
+    if len(names) == 1:
+        slots = joined.where(F.col("_v") <= F.col("_hi0")).select(*keys, "_n", slot(0).alias("_p"))
+    else:
+        each = F.array(*[F.when(F.col("_v") <= F.col(f"_hi{i}"), slot(i)) for i in range(len(names))])
+        slots = joined.select(*keys, "_n", F.explode(each).alias("_p")).where(F.col("_p").isNotNull())
+    counted = slots.select(*keys, "_n", "_p._i", "_p._x").groupBy(*keys, "_n", "_i", "_x").count()
     # only bracket values of one group reach a window partition; the "below" counter sorts first as null
     upto = W.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first())
     ranked = counted.withColumn("_cum", F.sum("count").over(upto.rowsBetween(W.unboundedPreceding, 0)))
@@ -105,7 +98,13 @@ def exact_quantiles(
     result = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
     )
-    return base.select(*keys, *extra).join(result, keys, "left") if keys and extra else result
+    if not keys:
+        return result
+    # groups known to be small fit one aggregation buffer each
+    qs = F.percentile("_v", F.array(*[dbl(p) for p in probs.values()])).alias("_qs")
+    few = rows.join(base.where(F.col("_n") <= small_group).select(*keys), keys).groupBy(*keys).agg(qs)
+    result = result.unionByName(few.select(*keys, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)]))
+    return base.select(*keys, *extra).join(result, keys, "left") if extra else result
 
 
 def exact_quantile_scalar(df: DataFrame, value: Column | str, p: float) -> Column:

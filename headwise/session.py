@@ -25,13 +25,18 @@ def build_session(app: str = "headwise", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for durable intermediates; a temporary one only where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="headwise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="headwise-")
+    return _OWN_FOLDERS[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_companion_aggregates_and_persisting(spark, skewed):
         df, ["k"], "v", {"q": 0.5}, aggs=[F.count(F.lit(1)).alias("rows")], keep=lambda d, n: kept.append(n) or d
     )
     rows = {r["k"]: (r["rows"], r["q"]) for r in out.collect()}
-    assert kept == ["group_sketches"]
+    assert kept == ["group_sizes"]
     assert rows["flat"] == (9_000, 7.0) and rows["none"] == (1, None)
 
 
