@@ -56,8 +56,8 @@ def in_categories(column: str, allowed: Sequence[str], severity: str = "warning"
     return Check(column, "unknown category value", severity, c.isNotNull() & ~c.isin(*allowed), c)
 
 
-def _moment(df_type: Column) -> Column:
-    return F.try_to_timestamp(_text(df_type))
+def _moment(c: Column) -> Column:
+    return F.try_to_timestamp(_text(c))
 
 
 def in_period(column: str, lo: str, hi: str, severity: str = "warning") -> Check:

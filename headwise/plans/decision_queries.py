@@ -9,7 +9,7 @@ from headwise.operators import compare as K
 from headwise.operators import recommendations as R
 from headwise.operators import scenario as Q
 from headwise.plans.catalog import query
-from headwise.plans.frames import NOW, Layer
+from headwise.plans.frames import DECISION_TABLES, NOW, PROFILE_TABLES, Layer
 from headwise.plans.oracle_decisions import ALERTS, RECOMMENDATIONS
 from headwise.sources import star
 
@@ -130,7 +130,7 @@ def _(spark, root):
     + ") a(category, action) ON r.category = a.category",
 )
 def _(spark, root):
-    layer = Layer(spark, root)
+    layer = Layer(spark, root, *DECISION_TABLES)
     return R.build_recommendations(layer, layer["stop_facts"], now=NOW).select("recommendation_id", "suggested_action")
 
 
@@ -178,21 +178,21 @@ def _(spark, root):
 
 @query("R09_all_recommendations", f"SELECT *, {_PRIORITY_ORDER} AS priority_rank FROM recommendations")
 def _(spark, root):
-    layer = Layer(spark, root)
+    layer = Layer(spark, root, *DECISION_TABLES)
     recs = R.in_priority_order(R.build_recommendations(layer, layer["stop_facts"], now=NOW))
     return recs.select(*REC_COLUMNS, R.priority_rank().alias("priority_rank"))
 
 
 @query("R09_recommendation_counts", "SELECT priority, category, count(*) AS count FROM recommendations GROUP BY 1, 2")
 def _(spark, root):
-    layer = Layer(spark, root)
+    layer = Layer(spark, root, *DECISION_TABLES)
     recs = R.build_recommendations(layer, layer["stop_facts"], now=NOW)
     return recs.groupBy("priority", "category").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("R10_explanations")
 def _(spark, root):
-    layer = Layer(spark, root)
+    layer = Layer(spark, root, *DECISION_TABLES)
     recs = R.with_explanation(R.build_recommendations(layer, layer["stop_facts"], now=NOW))
     return recs.select("recommendation_id", "explanation")
 
@@ -226,7 +226,7 @@ def _(spark, root):
 
 @query("K03_detailed_comparison", "SELECT * FROM route_detail")
 def _(spark, root):
-    return K.detailed(Layer(spark, root))
+    return K.detailed(Layer(spark, root, *PROFILE_TABLES))
 
 
 @query(
@@ -235,7 +235,7 @@ def _(spark, root):
     avg(occupancy_avg_pct) AS avg_occupancy_pct, CAST(sum(crowding_events) AS BIGINT) AS total_crowding_events, CAST(sum(bunching_events) AS BIGINT) AS total_bunching_events FROM route_detail""",
 )
 def _(spark, root):
-    return K.comparison_summary(K.detailed(Layer(spark, root)))
+    return K.comparison_summary(K.detailed(Layer(spark, root, *PROFILE_TABLES)))
 
 
 @query("K05_top_and_bottom_routes", "SELECT 'top' AS side, * FROM (SELECT route_id, avg_delay_min FROM route_metrics ORDER BY avg_delay_min DESC, route_id LIMIT 10) UNION ALL SELECT 'bottom', * FROM (SELECT route_id, avg_delay_min FROM route_metrics ORDER BY avg_delay_min, route_id LIMIT 10)")
@@ -255,7 +255,7 @@ def _(spark, root):
     LEFT JOIN (SELECT route_id, CASE WHEN count(*) = 7 THEN avg(passengers) END AS trend_7d FROM (SELECT * FROM daily_demand QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY date DESC) <= 7) GROUP BY 1) w ON d.route_id = w.route_id""",
 )
 def _(spark, root):
-    return K.profiles(Layer(spark, root))
+    return K.profiles(Layer(spark, root, *PROFILE_TABLES))
 
 
 @query(
@@ -267,7 +267,7 @@ def _(spark, root):
     (SELECT count(*) FROM stop_metrics WHERE is_bottleneck) AS bottleneck_stops FROM route_metrics""",
 )
 def _(spark, root):
-    return K.kpis(Layer(spark, root))
+    return K.kpis(Layer(spark, root, "alerts", "daily_demand"))
 
 
 @query(
@@ -289,6 +289,8 @@ def _(spark, root):
     return K.filter_scores(m, 20, 75, ["core", "express"], ["Solid", "Needs Attention", "Action Required"])
 
 
+BASELINE_TABLES = ("stop_metrics", "route_metrics", "daily_demand", "overcrowding_events", "persistent_overcrowding")
+
 # Scenarios --------------------------------------------------------------------------------------------------------
 
 
@@ -304,7 +306,7 @@ def _estimated(layer):
 
 @query("Q01_baseline_row", "SELECT * FROM baseline_row")
 def _(spark, root):
-    return Q.baseline(Layer(spark, root))
+    return Q.baseline(Layer(spark, root, *BASELINE_TABLES))
 
 
 @query("Q02_projected_routes", "SELECT * FROM projected")
@@ -330,7 +332,7 @@ def _(spark, root):
 
 @query("Q04_scenario_deltas", "SELECT * FROM scenario_deltas")
 def _(spark, root):
-    layer = Layer(spark, root)
+    layer = Layer(spark, root, *BASELINE_TABLES)
     return Q.deltas(_estimated(layer), Q.baseline(layer))
 
 
@@ -344,5 +346,5 @@ def _(spark, root):
     + " FROM scenario_deltas GROUP BY 1, 2",
 )
 def _(spark, root):
-    layer = Layer(spark, root)
+    layer = Layer(spark, root, *BASELINE_TABLES)
     return Q.wide(Q.deltas(_estimated(layer), Q.baseline(layer)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,12 @@ from headwise.session import materialise
 from headwise.sources import star
 
 NOW = "2024-02-01T00:00:00"
+# The analytics tables the decision operators read, the longest to build first.
+DECISION_TABLES = (
+    "stop_metrics", "route_metrics", "anomalies", "bunching_events", "persistent_overcrowding", "overcrowding_events",
+    "quality_days", "underutilization",
+)
+PROFILE_TABLES = ("stop_metrics", "route_metrics", "daily_demand", "bunching_events", "overcrowding_events", "quality_days")
 
 
 def route_dim(spark: SparkSession, root: str) -> DataFrame:
@@ -72,20 +81,31 @@ class Layer(dict):
     scan of a small aggregate instead of a repeat of the fact-table work.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, *names: str):
         super().__init__()
         self._spark, self._root = spark, root
+        self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
+        self.prepare(*names)
+
+    def prepare(self, *names: str) -> None:
+        """Build several independent tables as concurrent Spark jobs."""
+        if names:
+            with ThreadPoolExecutor(max_workers=4) as pool:
+                list(pool.map(self.__getitem__, names))
 
     def __missing__(self, name: str) -> DataFrame:
         spark, root = self._spark, self._root
-        if name == "stop_facts":
-            df = star.stop_facts(spark, root)
-        elif name == "trips":
-            df = materialise(star.trips(spark, root), name)
-        else:
-            df = materialise(self._build(name), name)
-        self[name] = df
-        return df
+        with self._locks[name]:
+            if name in self:  # another thread built it while this one waited
+                return self.get(name)
+            if name == "stop_facts":
+                df = star.stop_facts(spark, root)
+            elif name == "trips":
+                df = materialise(star.trips(spark, root), name)
+            else:
+                df = materialise(self._build(name), name)
+            self[name] = df
+            return df
 
     def _build(self, name: str) -> DataFrame:
         spark, root = self._spark, self._root
@@ -108,6 +128,7 @@ class Layer(dict):
         if name == "anomalies":
             return A.anomalies(self["daily_demand"])
         if name == "alerts":
+            self.prepare(*DECISION_TABLES)
             return build_alerts(self, now=NOW)
         raise KeyError(name)
 
