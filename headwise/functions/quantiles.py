@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from headwise.functions.scalars import col, dbl
 
 ACCURACY = 10_000
-SMALL_GROUP = 4_096
+SMALL_GROUP = 16_384
 
 
 def exact_quantiles(
