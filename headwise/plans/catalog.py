@@ -35,7 +35,12 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in REGISTRY:
             raise KeyError(name)
-        REGISTRY[name] = Query(name, lambda spark, root: portable(fn(spark, root)), with_views(sql) if sql else None)
+
+        def build(spark: SparkSession, root: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # clocks are compared as microseconds since the epoch
+            return portable(fn(spark, root))
+
+        REGISTRY[name] = Query(name, build, with_views(sql) if sql else None)
         return fn
 
     return register
