@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from headwise.llm.common import fresh, text_of
 
 #: Distinct pieces that a worker remembers; the memory is bounded, the results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 48
 
 #: Above any symbol id; two ids make one number.
