@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import bpe, packing, pii, sharding, token_file
+from headwise.llm import ann_tree, bpe, packing, pii, sharding, token_file
 from headwise.llm.common import read_table, scratch_path, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann_tree.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op8_exact_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), shards=40)
