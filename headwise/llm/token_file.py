@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, text_of
+from headwise.llm.common import at_most, text_of, written
 from headwise.llm.tokens import library_tokens
 
 BLOCK = 128
@@ -188,6 +188,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.schema(_SEGMENTS).parquet(folder)
     # One row for each part that was written, however long the parts are.
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    before = written(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "token-parts")
     found = files.mapInArrow(documents, "doc_id long, part int, in_part long, n_tokens long, ids binary")
     return found.join(before, "part").select("doc_id", (F.col("before") + F.col("in_part")).alias("start"), "n_tokens", "ids")

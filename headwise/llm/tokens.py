@@ -1,17 +1,22 @@
 """Token ids by the tokenizers library, for operators that only need the ids.
 
-A text without two white spaces in a row falls apart at its blanks into pieces whose ids do not depend on each other, so
-the library encodes each distinct piece once for a worker; other texts, and texts with a special token, go to it whole.
+A text without two white spaces in a row falls apart at its blanks into pieces whose ids do not depend on each other. A
+piece falls into words by the vocabulary's pattern, and the library encodes each distinct word once for a worker. Other
+texts, and texts with a special token, go to it whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import regex
 
-#: Distinct pieces that a worker remembers, and their longest length; neither changes a result.
+from headwise.llm.bpe import PATTERN
+
+#: Distinct pieces and words that a worker remembers, and their longest length; neither changes a result.
 REMEMBERED = 500_000
 LONGEST_REMEMBERED = 48
 
@@ -26,35 +31,51 @@ class LibraryTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"[\s\x1c-\x1f]{2}", *map(regex.escape, self.special)])).search
-        self.known: dict[str, bytes] = {}
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)])).search
+        self.find = regex.compile(PATTERN).findall
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces, each with a blank before it."""
+        cut = {x: (" " + x,) if x.isalpha() else self.find(" " + x) for x in pieces}
+        new = {w for words in cut.values() for w in words}.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = {w for words in cut.values() for w in words}
+        order = list(new)
+        self.words.update(zip(order, self._library(order), strict=True))
+        get = self.words.__getitem__
+        found = {x: b"".join(map(get, words)) for x, words in cut.items()}
+        for word in order:
+            if len(word) > LONGEST_REMEMBERED:
+                del self.words[word]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        whole, cut = [], {}
-        for i, text in enumerate(texts):
-            if self.whole(text):
-                whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                cut[i] = ([first] if first else []) + [" " + x for x in rest]
-        new = {x for pieces in cut.values() for x in pieces}.difference(self.known)
-        short = [x for x in new if len(x) <= LONGEST_REMEMBERED]
-        self.known.update(zip(short, self._ids(short), strict=True))
-        long = [x for x in new if len(x) > LONGEST_REMEMBERED]
-        passing = dict(zip(long, self._ids(long), strict=True))
-        get = self.known.__getitem__ if not passing else lambda x: self.known.get(x) or passing[x]
+        whole = [i for i, text in enumerate(texts) if self.whole(text) or text[:1].isspace() or text[-1:].isspace()]
+        apart = set(range(len(texts))).difference(whole)
+        cut = {i: texts[i].split(" ") for i in apart}
+        firsts = {i: pieces.pop(0) for i, pieces in cut.items()}
+        wanted = set().union(*cut.values())
+        new = wanted.difference(self.pieces)
+        if len(self.pieces) + len(new) > REMEMBERED:
+            self.pieces.clear()
+            new = wanted
+        self.pieces.update(self._learn(new))
+        get = self.pieces.__getitem__
         out = [b""] * len(texts)
-        for i, pieces in cut.items():
-            out[i] = b"".join(map(get, pieces))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+        order = list(apart)
+        for i, first in zip(order, self._library([firsts[i] for i in order]), strict=True):
+            out[i] = first + b"".join(map(get, cut[i]))
+        for piece in new:
+            if len(piece) > LONGEST_REMEMBERED:
+                del self.pieces[piece]
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
