@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import ann_tree, bpe, merkle, packing, pii, sharding, token_file, toxicity
+from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, sharding, token_file, toxicity
 from headwise.llm.common import read_table, scratch_path, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_merkle_fingerprints")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(read_table(spark, sf_dir, "documents"))
