@@ -127,12 +127,14 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 20_000,
-    rows_per_leaf: int = 200,
-    max_leaves: int = 512,
+    leaves: int = 64,
     rows_per_key: int = 4096,
     target: float = 0.96,
 ) -> DataFrame:
-    """The k nearest found for each row that ``is_query`` selects: query_id, rank, vec_id, score."""
+    """The k nearest found for each row that ``is_query`` selects: query_id, rank, vec_id, score.
+
+    A query's best of each visited leaf are ranked together, so the rows ranked grow with the queries alone.
+    """
     spark = df.sparkSession
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     usable = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -141,11 +143,11 @@ def search(
     empty = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return spark.createDataFrame([], empty)
-    dimension, n = int(lengths["d"]), int(lengths["count"])
+    dimension = int(lengths["d"])
     usable = usable.where(F.size("vector") == dimension)
     drawn = usable.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(sample_rows).select("vector").collect()
     sample = np.array([r.vector for r in drawn], dtype=np.float64)
-    tree = fit(sample, int(max(1, min(max_leaves, n / rows_per_leaf, len(sample) / 8))))
+    tree = fit(sample, max(1, min(leaves, len(sample) // 8)))
     visits = calibrate(tree, sample, k, target)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
