@@ -1,7 +1,7 @@
 """Byte-level BPE: encode with a priority queue of merge ranks over a linked symbol list, decode by concatenation.
 
 Edge cases: a null text is the empty text and gives no ids; ids outside the vocabulary are an error; empty tables give
-empty results; other columns pass through, whatever their names. Every row is encoded by itself, so repeated rows and
+empty results; other columns pass through, and one that has the result's name is replaced. Every row is encoded by itself, so repeated rows and
 ties need no rule, and one long word of n bytes takes O(n log n) steps.
 """
 
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import fresh, text_of
+from headwise.llm.common import text_of
 
 #: Distinct pieces that a worker remembers; the memory is bounded, the results do not depend on it.
 REMEMBERED = 250_000
@@ -180,14 +180,10 @@ def decode_column(ids: Column, path: str) -> Column:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of each text; a null text has none. An existing column of the name ``ids`` is an error."""
-    if fresh(df, ids) != [ids]:
-        raise ValueError(f"the table has a column {ids} already")
+    """Add the token ids of each text; a null text has none. A column of the name ``ids`` is replaced."""
     return df.withColumn(ids, encode_column(text_of(text), path))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text of each row's token ids; null ids give the empty text."""
-    if fresh(df, text) != [text]:
-        raise ValueError(f"the table has a column {text} already")
+    """Add the text of each row's token ids; null ids give the empty text. A column of the name ``text`` is replaced."""
     return df.withColumn(text, decode_column(F.coalesce(F.col(f"`{ids}`"), F.lit(b"")), path))

@@ -26,10 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import groups, text_of, written
+from headwise.llm.common import fresh, groups, text_of, written
 from headwise.llm.components import components
 
 WORDS = 5
@@ -275,3 +275,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: i
     ids = texts.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     named = written(texts.join(ids, "label").select("k", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named-texts")
     return rows.join(named, "k").select("doc_id", "class_id", "n_links")
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class with all its columns: of its texts the one with the smallest id, of equal rows one.
+
+    Ids that are null come last.
+    """
+    _, texts = similar(df, id_col, text_col)
+    rank = F.struct(F.col("rep_id").isNull().alias("unnamed"), F.col("rep_id").alias("kept_id"), F.col("k").alias("kept_k"))
+    first = texts.groupBy("label").agg(F.min(rank).alias("r")).select("r.kept_k", "r.kept_id")
+    k_, id_, key_, place_ = fresh(df, "kept_k", "kept_id", "text_key", "place")
+    kept = written(first.select(F.col("kept_k").alias(k_), F.col("kept_id").alias(id_)), "kept-texts")
+    rows = df.withColumn(key_, F.xxhash64(text_of(text_col)))
+    rows = rows.join(kept, (F.col(key_) == F.col(k_)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)))
+    order = [F.col(f"`{c}`") for c, kind in df.dtypes if c != text_col and "map<" not in kind and kind != "variant"]
+    ranked = rows.withColumn(place_, F.row_number().over(Window.partitionBy(key_).orderBy(*order)))
+    return ranked.where(F.col(place_) == 1).select(*[F.col(f"`{c}`") for c in df.columns])

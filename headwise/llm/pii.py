@@ -109,11 +109,12 @@ def _running(lengths: Column) -> Column:
 
 
 def find(df: DataFrame, text: str = "text", spans: str = "spans", threshold: float = 0.7) -> DataFrame:
-    """Add the array of spans: struct of kind, order of the kind, start, end, score; ordered by start, then kind."""
+    """Add the array of spans: struct of kind, order of the kind, start, end, score; ordered by start, then kind.
+
+    A column of the name ``spans`` is replaced.
+    """
     (found_, piece_, ends_, text_) = fresh(df, "found", "pieces", "ends", "whole_text")
-    if fresh(df, spans) != [spans]:
-        raise ValueError(f"the table has a column {spans} already")
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != spans.lower()]
     out = df.withColumn(text_, text_of(text))
     kind_type = "array<struct<kind:string,rank:int,start:bigint,end:bigint,score:double>>"
     none = F.array().cast("array<string>")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, sharding, token_file, toxicity
+from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, quality, sharding, token_file, toxicity
 from headwise.llm.common import read_table, scratch_path, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.search(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op7_site_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.posterior(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_rate", "quality", (F.col("quality") >= quality.KEEP).cast("int").alias("keep")
+    )
+
+
 @query("op8_exact_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), shards=40)

@@ -12,7 +12,7 @@ trained on the other, each toxic text by the window the network finds most toxic
 Edge cases: a null or empty text has one window of no words and gets its score; without labels of both classes every
 score is the share of toxic labels, or 0.5 without any; a repeated label counts once, toxic if any says so; rows
 without an id are scored and never held out; repeated rows score alike; an empty table gives an empty result; other
-columns pass through, and clashing result names are an error.
+columns pass through, and one that has the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, fresh, text_of
+from headwise.llm.common import at_most, text_of
 
 #: Words of a block, blocks of a window, and blocks from one window to the next.
 BLOCK, BLOCKS, STEP = 8, 4, 3
@@ -308,9 +308,7 @@ def _scorer(key: str, model: Callable[[], Model]) -> Scorer:
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Add the toxicity of each whole text, 0 to 1."""
-    if fresh(df, score_col) != [score_col]:
-        raise ValueError(f"the table has a column {score_col} already")
+    """Add the toxicity of each whole text, 0 to 1; a column of that name is replaced."""
     holder = df.sparkSession.sparkContext.broadcast(model)  # tables of at most TABLE entries and the weights
     key = uuid.uuid4().hex
 
