@@ -1,14 +1,62 @@
-"""Stages of corpus preparation, each written as Parquet and read again before the next."""
+"""Stages of corpus preparation, each written as Parquet and read again before the next.
+
+Every stage takes any rows of ``documents``: nulls, empty and very long texts, repeated rows and further columns are
+treated as its operator says; all but the last keep the columns they get.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from headwise.llm import ngram_join, packing, pii, quality, toxicity
+from headwise.llm.common import fresh, read_table, written
+from headwise.llm.queries import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the rejection score go."""
+    (score,) = fresh(docs, "score")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < toxicity.REJECT).drop(score)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior of being good is too small go."""
+    names = tuple(fresh(docs, "evidence", "site_rate", "quality"))
+    scored = quality.posterior(docs, read_table(spark, sf_dir, "labels"), names=names)
+    return scored.where(F.col(names[2]) >= quality.KEEP).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies stays."""
+    return ngram_join.one_of_each_class(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become the names of their kinds; n_chars follows the text."""
+    clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    kind = dict(docs.dtypes)["n_chars"]
+    length = F.coalesce(F.char_length("text").cast(kind), F.col("n_chars"))
+    return clean.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full windows, with their token ids."""
+    return packing.pack(docs, vocabulary())
 
-from headwise.llm.common import read_table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("near_copies", drop_near_copies),
+    ("personal_data", replace_personal_data),
+    ("packing", pack),
+]
 
 #: Trained models and tokenizers cannot be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
