@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from headwise.functions.nullsafe import join_groups
 from headwise.functions.scalars import col, dbl
 
 ACCURACY = 10_000
@@ -35,11 +36,10 @@ def exact_quantiles(
     ``aggs`` are further aggregates of the same groups, computed in the first pass. ``keep(df, name)`` may persist the
     one-row-per-group result of that pass, which the later passes and the final join would otherwise compute again.
 
-    The first pass sizes the groups. Groups of at most ``small_group`` rows use Spark's own percentile, whose state they
-    bound; the passes for larger groups vanish at run time when there are none. A larger group is sketched (bounded
-    state, merged map-side) for a value bracket of +-(1/small_group + 3/accuracy) in rank around each probability. Then
-    its values are counted: everything below the bracket collapses to one counter per map task, everything above is
-    dropped, and the values inside are counted by (key, value) before any ordering.
+    The first pass sizes and sketches each group (bounded state, merged map-side) for a value bracket of
+    +-(1/small_group + 3/accuracy) in rank around each probability; a group of at most ``small_group`` rows is its own
+    bracket. Then values are counted: everything below the bracket collapses to one counter per map task, everything
+    above is dropped, and the values inside are counted by (key, value) before any ordering. A null key is a group.
     """
     keys = list(keys)
     names = list(probs)
@@ -54,17 +54,14 @@ def exact_quantiles(
     for i, p in enumerate(probs.values()):
         lo = F.col("_min") if p - eps <= 0.0 else F.col("_cut")[2 * i]
         hi = F.col("_max") if p + eps >= 1.0 else F.col("_cut")[2 * i + 1]
-        if not keys:
-            lo, hi = (F.when(F.col("_n") <= small_group, F.col(m)).otherwise(c) for m, c in (("_min", lo), ("_max", hi)))
+        lo, hi = (F.when(F.col("_n") <= small_group, F.col(m)).otherwise(c) for m, c in (("_min", lo), ("_max", hi)))
         brackets += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     size = [F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     if keys:
-        grouped = df.withColumn("_v", col(value).cast("double")).groupBy(*keys).agg(*aggs, *size)
+        grouped = df.withColumn("_v", col(value).cast("double")).groupBy(*keys).agg(*aggs, *size, sketch)
         base = keep(grouped, "group_sizes") if keep is not None else grouped
-        extra = [c for c in base.columns if c not in {*keys, "_n", "_min", "_max"}]
-        large = base.where(F.col("_n") > small_group).select(*keys, "_n", "_min", "_max")
-        cutted = rows.join(large, keys).groupBy(*keys, "_n", "_min", "_max").agg(sketch)
-        joined = rows.join(cutted.select(*keys, "_n", *brackets), keys)
+        extra = [c for c in base.columns if c not in {*keys, "_n", "_min", "_max", "_cut"}]
+        joined = join_groups(rows, base.select(*keys, "_n", *brackets), keys)
     else:
         summary = rows.agg(*size, sketch).select(F.struct("_n", *brackets).alias("_s"))
         joined = rows.select("_v", summary.scalar().alias("_s")).select("_v", "_s.*")
@@ -100,11 +97,7 @@ def exact_quantiles(
     )
     if not keys:
         return result
-    # groups known to be small fit one aggregation buffer each
-    qs = F.percentile("_v", F.array(*[dbl(p) for p in probs.values()])).alias("_qs")
-    few = rows.join(base.where(F.col("_n") <= small_group).select(*keys), keys).groupBy(*keys).agg(qs)
-    result = result.unionByName(few.select(*keys, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)]))
-    return base.select(*keys, *extra).join(result, keys, "left") if extra else result
+    return join_groups(base.select(*keys, *extra), result, keys, "left") if extra else result
 
 
 def exact_quantile_scalar(df: DataFrame, value: Column | str, p: float) -> Column:

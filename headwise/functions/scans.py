@@ -2,7 +2,8 @@
 
 A plain window sends a whole partition-by group to one task. These operators cut each group into ordered chunks (for
 example one per hour), scan inside the chunks in parallel, and carry one small row per chunk across chunk borders.
-``chunk`` must be a function of the row that never decreases along ``order``; it decides the largest task.
+``chunk`` must be a function of the row that never decreases along ``order``; it decides the largest task. A null key
+is a group of its own, and a null chunk comes first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from headwise.functions.nullsafe import join_groups
 from headwise.functions.scalars import col
 
 CHUNK = "_chunk"
@@ -39,7 +41,7 @@ def previous_values(
         *keys, CHUNK, F.lag("_last").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_carry")
     )
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    joined = base.join(carry, [*keys, CHUNK], "left")
+    joined = join_groups(base, carry, [*keys, CHUNK], "left")
     joined = joined.withColumn("_prev", F.coalesce(F.lag(packed).over(inside), F.col("_carry")))
     return joined.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
 
@@ -78,7 +80,7 @@ def prior_levels(
     carry = totals.select(*keys, CHUNK, *carries)
     end = 0 if inclusive else -1
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    joined = base.join(carry, [*keys, CHUNK], "left")
+    joined = join_groups(base, carry, [*keys, CHUNK], "left")
     joined = joined.select(
         "*",
         *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{n}") for n, c in sums.items()],
@@ -128,7 +130,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], chunk: Column, name: str
         ).alias("_before"),
     )
     inside = W.partitionBy(CHUNK).orderBy(*order)
-    ranked = base.join(before, CHUNK).withColumn(name, F.col("_before") + F.row_number().over(inside))
+    ranked = join_groups(base, before, [CHUNK]).withColumn(name, F.col("_before") + F.row_number().over(inside))
     return ranked.select(*df.columns, name)
 
 
@@ -172,4 +174,4 @@ def with_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     adaptive join splits a hot key.
     """
     keys = list(keys)
-    return df.join(df.groupBy(*keys).agg(*aggs), keys, "left")
+    return join_groups(df, df.groupBy(*keys).agg(*aggs), keys, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headwise import settings as S
+from headwise.functions.nullsafe import join_groups
 from headwise.functions import scalars as X
 from headwise.functions.quantiles import exact_quantile_scalar, exact_quantiles
 from headwise.functions.scans import global_rank
@@ -77,7 +78,7 @@ def route_volume(rides: DataFrame) -> DataFrame:
 
 def with_volume(base: DataFrame, rides: DataFrame) -> DataFrame:
     """Volume and revenue per route joined to the trip metrics, none = 0."""
-    out = base.join(route_volume(rides), "route_id", "left")
+    out = join_groups(base, route_volume(rides), ["route_id"], "left")
     return out.withColumns(
         {
             "passengers": F.coalesce("passengers", F.lit(0).cast("long")),
@@ -168,7 +169,7 @@ def bottlenecks(stop_frame: DataFrame, t: S.Thresholds = T) -> DataFrame:
 
 
 def stop_metrics(visits: DataFrame, stops: DataFrame, t: S.Thresholds = T, keep: Keep = None) -> DataFrame:
-    out = stop_base(visits, t, keep).join(peak_hour(visits), "stop_id", "left")
+    out = join_groups(stop_base(visits, t, keep), peak_hour(visits), ["stop_id"], "left")
     out = keep(out, "stop_figures") if keep else out
     return bottlenecks(out, t).join(stops.select("stop_id", "stop_name", "zone"), "stop_id", "left")
 
@@ -459,7 +460,7 @@ def service_level(trips: DataFrame, t: S.Thresholds = T) -> DataFrame:
         "route_id", "time_period", "headway_reliability", "on_time_rate",
         F.col("headway_cv").alias("period_headway_cv"),
     )
-    out = frequency_analysis(trips, t).drop("headway_reliability").join(level, ["route_id", "time_period"], "left")
+    out = join_groups(frequency_analysis(trips, t).drop("headway_reliability"), level, ["route_id", "time_period"], "left")
     out = out.withColumn("service_regularity", (X.dbl(1.0) - X.clip("period_headway_cv", 0.0, 1.0)) * 100)
     composite = (
         X.dbl(0.4) * F.coalesce("on_time_rate", X.dbl(0.0))

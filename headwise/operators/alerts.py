@@ -82,7 +82,7 @@ def _alerts(
     ident = F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in identity])
     none = F.lit(None).cast("string")
     return df.select(
-        F.concat(F.lit("alt-"), F.substring(F.md5(ident), 1, 12)).alias("alert_id"),
+        F.concat(F.lit("alt-"), F.md5(ident)).alias("alert_id"),
         F.lit(kind).alias("alert_type"),
         F.format_string(title, subject).alias("title"),
         F.format_string(description, subject, *texts).alias("description"),

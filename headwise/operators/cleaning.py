@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headwise import settings as S
+from headwise.functions.nullsafe import join_groups
 from headwise.functions import scalars as X
 from headwise.functions.quantiles import exact_quantile_scalar, exact_quantiles
 
@@ -86,7 +87,7 @@ def impute_group_median(df: DataFrame, keys: Sequence[str], column: str, default
     """Null -> median of its group -> constant."""
     med = exact_quantiles(df, keys, column, {"_med": 0.5})
     parts = [F.col(column), F.col("_med")] + ([X.dbl(default)] if default is not None else [])
-    return df.join(med, list(keys), "left").withColumn(column, F.coalesce(*parts)).drop("_med")
+    return join_groups(df, med, list(keys), "left").withColumn(column, F.coalesce(*parts)).drop("_med")
 
 
 def clip_round(column: str, lo: float, hi: float, digits: int | None = None) -> Column:
@@ -286,7 +287,7 @@ def clean_trips(
     delay_median = exact_quantile_scalar(medians, "departure_delay_min", 0.5)
     avg_median = exact_quantile_scalar(medians, "occupancy_avg_pct", 0.5)
     by_route = exact_quantiles(medians, ["route_id"], "occupancy_max_pct", {"_occ": 0.5})
-    df = df.join(by_route, "route_id", "left")
+    df = join_groups(df, by_route, ["route_id"], "left")
     filled = {
         "departure_delay_min": X.clip(F.coalesce("departure_delay_min", delay_median), -5.0, 120.0),
         "occupancy_max_pct": X.clip(F.coalesce("occupancy_max_pct", "_occ", X.dbl(0.0)), 0.0, 200.0),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headwise import settings as S
+from headwise.functions.nullsafe import join_groups
 from headwise.functions import scalars as X
 from headwise.functions.quantiles import exact_quantiles
 from headwise.functions.scans import previous_values, prior_aggregates, prior_levels, trailing_means, with_group
@@ -366,14 +367,14 @@ def delay_features(trips: DataFrame, t: S.Thresholds = S.DEFAULTS, keep=None) ->
     rate = trips.groupBy("route_id").agg(
         (X.count_if(bunched) / F.greatest(X.count_if(valid), F.lit(1))).alias("route_bunching_rate")
     )
-    return d.join(rate, "route_id", "left")
+    return join_groups(d, rate, ["route_id"], "left")
 
 
 def hierarchical_fill(df: DataFrame, fit_on: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Null -> group mean -> global mean, both means learned from ``fit_on`` rows only."""
     group = fit_on.groupBy(*keys).agg(*[F.avg(c).alias(f"_g_{c}") for c in columns])
     overall = fit_on.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("_all"))
-    out = df.join(group, list(keys), "left").withColumn("_all", overall.scalar())
+    out = join_groups(df, group, list(keys), "left").withColumn("_all", overall.scalar())
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_g_{c}"), F.col(f"_all.{c}")) for c in columns}
     return out.withColumns(filled).select(*df.columns)
 
@@ -388,10 +389,10 @@ def shrunk_effects(df: DataFrame, fit_on: DataFrame, value: str, groups: Sequenc
     out = df.withColumn("signal", overall)
     for g in groups:
         eff = train.groupBy(g).agg((F.sum("_res") / (F.count("_res") + X.dbl(k))).alias("_eff"))
-        out = out.join(eff, g, "left")
+        out = join_groups(out, eff, [g], "left")
         out = out.withColumn(f"{g}_effect", F.coalesce("_eff", X.dbl(0.0)))
         out = out.withColumn("signal", F.col("signal") + F.col(f"{g}_effect")).drop("_eff")
-        train = train.join(eff, g, "left")
+        train = join_groups(train, eff, [g], "left")
         train = train.withColumn("_res", F.col("_res") - F.coalesce("_eff", X.dbl(0.0))).drop("_eff")
     return out.withColumn("residual", F.col(value) - F.col("signal"))
 

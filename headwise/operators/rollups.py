@@ -58,8 +58,9 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     return value_counts(anomalies, "route_id", "anomaly_type")
 
 
-def strongest_anomalies(anomalies: DataFrame, n: int = 20) -> DataFrame:
-    return anomalies.orderBy(F.abs("z_score").desc(), "route_id", "date").limit(n)
+def strongest_anomalies(anomalies: DataFrame) -> DataFrame:
+    """All anomalies, the strongest first."""
+    return anomalies.orderBy(F.abs("z_score").desc(), "route_id", "date")
 
 
 def delay_profile_class(routes: DataFrame) -> DataFrame:

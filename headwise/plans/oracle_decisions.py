@@ -8,7 +8,7 @@ _S = "CAST({c} AS VARCHAR)"
 def alert(kind: str, source: str, severity: str, metric: str, threshold: str, title: str, ident: str, route: str | None = "route_id", stop: str | None = None, where: str = "true", description: str = "NULL") -> str:
     parts = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in ident.split(", "))
     subject = f"CAST({route or stop} AS VARCHAR)"
-    return f"""SELECT 'alt-' || substr(md5('{kind}|' || {parts}), 1, 12) AS alert_id, '{kind}' AS alert_type, {severity} AS severity, '{title}' || {subject} AS title,
+    return f"""SELECT 'alt-' || md5('{kind}|' || {parts}) AS alert_id, '{kind}' AS alert_type, {severity} AS severity, '{title}' || {subject} AS title,
   {f"CAST({route} AS VARCHAR)" if route else "CAST(NULL AS VARCHAR)"} AS affected_route, {f"CAST({stop} AS VARCHAR)" if stop else "CAST(NULL AS VARCHAR)"} AS affected_stop,
   CAST({metric} AS DOUBLE) AS metric_value, '{threshold}' AS threshold_used FROM {source} WHERE {where}"""
 
@@ -52,7 +52,7 @@ VIEWS["alerts"] = " UNION ALL ".join(ALERTS.values())
 
 def recommend(category: str, source: str, priority: str, metric: str, threshold: str, confidence: str, title: str, ident: str, route: str | None = "route_id", stop: str | None = None, where: str = "true") -> str:
     parts = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in ident.split(", "))
-    return f"""SELECT 'rec-' || substr(md5(category || '|' || {parts}), 1, 12) AS recommendation_id, category, priority,
+    return f"""SELECT 'rec-' || md5(category || '|' || {parts}) AS recommendation_id, category, priority,
   {f"CAST({route} AS VARCHAR)" if route else "CAST(NULL AS VARCHAR)"} AS affected_route, {f"CAST({stop} AS VARCHAR)" if stop else "CAST(NULL AS VARCHAR)"} AS affected_stop,
   {title} AS title, CAST({metric} AS DOUBLE) AS metric_value, '{threshold}' AS threshold_used, CAST({confidence} AS DOUBLE) AS confidence
 FROM (SELECT *, {category} AS category, {priority} AS priority FROM {source}) WHERE {where}"""

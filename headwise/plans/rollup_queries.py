@@ -71,7 +71,7 @@ def _(spark, root):
     return P.anomaly_counts(A.anomalies(frames.daily_demand(spark, root)))
 
 
-@query("P06_strongest_anomalies", "SELECT route_id, CAST(date AS VARCHAR) AS date, z_score, anomaly_type FROM anomalies ORDER BY abs(z_score) DESC, route_id, date LIMIT 20")
+@query("P06_strongest_anomalies", "SELECT route_id, CAST(date AS VARCHAR) AS date, z_score, anomaly_type FROM anomalies ORDER BY abs(z_score) DESC, route_id, date")
 def _(spark, root):
     return P.strongest_anomalies(A.anomalies(frames.daily_demand(spark, root))).select("route_id", "date", "z_score", "anomaly_type")
 
@@ -143,12 +143,12 @@ def _(spark, root):
 
 @query(
     "P14_custom_order_sort",
-    "SELECT event_id, status, epoch_us(ts) AS us FROM run_log ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'warning' THEN 1 WHEN 'skipped' THEN 2 ELSE 3 END, ts DESC, event_id LIMIT 100",
+    "SELECT event_id, status, epoch_us(ts) AS us FROM run_log ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'warning' THEN 1 WHEN 'skipped' THEN 2 ELSE 3 END, ts DESC, event_id",
 )
 def _(spark, root):
     ranks = {"failed": 0, "warning": 1, "skipped": 2, "ok": 3}
-    top = P.ordered_by_rank(star.run_log(spark, root), "status", ranks, "ts", "event_id").limit(100)
-    return top.select("event_id", "status", F.unix_micros("ts").alias("us"))
+    ordered = P.ordered_by_rank(star.run_log(spark, root), "status", ranks, "ts", "event_id")
+    return ordered.select("event_id", "status", F.unix_micros("ts").alias("us"))
 
 
 _PRED = "(SELECT route_id, date, time_band, avg({v}) OVER (PARTITION BY route_id, time_band ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS predicted FROM (SELECT route_id, date, time_band, avg({v}) AS {v} FROM trips_core GROUP BY 1, 2, 3))"

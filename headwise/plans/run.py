@@ -31,7 +31,7 @@ def run_steps(
             try:
                 status, details = "ok", f"rows={save(name, build()).count()}"
             except Exception as e:  # one broken step must not stop the run
-                status, details = "failed", f"{type(e).__name__}: {str(e)[:200]}"
+                status, details = "failed", f"{type(e).__name__}: {e}"
         log.append((stamp, f"{component}:{name}", component, status, details, (time.perf_counter() - started) * 1000))
     return spark.createDataFrame(log, LOG_SCHEMA)
 

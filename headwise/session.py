@@ -29,10 +29,16 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for durable intermediates; a temporary one only where it names none."""
+    """The folder that ``spark.checkpoint.dir`` names for durable intermediates.
+
+    Only a local session, whose executors are the driver, may go without: it gets a temporary folder. A cluster that
+    names none is refused, because each executor would write to its own disk and later reads would miss the files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="headwise-")

@@ -45,6 +45,15 @@ def test_companion_aggregates_and_persisting(spark, skewed):
     assert rows["flat"] == (9_000, 7.0) and rows["none"] == (1, None)
 
 
+@pytest.mark.parametrize("small_group", [16, 10**9])
+def test_null_keys_are_a_group(spark, small_group):
+    rows = [(None, float(i % 37)) for i in range(500)] + [("a", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for aggs in ([], [F.count(F.lit(1)).alias("rows")]):
+        got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", {"q": 0.3}, small_group=small_group, aggs=aggs).collect()}
+        assert got == {k: pytest.approx(float(np.quantile([v for x, v in rows if x == k], 0.3))) for k in (None, "a")}
+
+
 def test_whole_frame_scalar(spark, skewed):
     df = spark.createDataFrame(skewed, "k string, v double")
     got = df.limit(1).select(exact_quantile_scalar(df, "v", 0.9)).first()[0]

@@ -113,3 +113,17 @@ def test_leaking_columns_are_refused():
 def test_feature_catalogue(spark):
     got = Fe.feature_catalogue(spark)
     assert {r["provenance"] for r in got.collect()} == {"A", "B", "C"}
+
+
+def test_null_keys_are_a_group(spark):
+    rows = [(k, i, i, float(i)) for k in (None, "a") for i in range(12)]
+    df = spark.createDataFrame([(k, t, i if k else i + 100, v) for k, t, i, v in rows], "k string, t long, id long, v double").repartition(3)
+    two = F.floor(F.col("t") / 2)
+    earlier = win().rowsBetween(W.unboundedPreceding, -1)
+    same(scans.previous_values(df, ["k"], ["t", "id"], two, {"p": "v"}), df.withColumn("p", F.lag("v").over(win())), "p")
+    got = scans.prior_aggregates(df, ["k"], ["t", "id"], two, sums={"s": F.col("v")}, maxes={"m": F.col("v")})
+    same(got, df.withColumn("s", F.coalesce(F.sum("v").over(earlier), F.lit(0.0))), "s")
+    same(got, df.withColumn("m", F.max("v").over(earlier)), "m")
+    same(scans.trailing_means(df, ["k"], ["t", "id"], two, "v", {"a": 3}), df.withColumn("a", F.avg("v").over(win().rowsBetween(-3, -1))), "a")
+    whole = df.withColumn("g", F.avg("v").over(W.partitionBy("k")))
+    same(scans.with_group(df, ["k"], F.avg("v").alias("g")), whole, "g")
