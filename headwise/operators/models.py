@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -481,28 +483,47 @@ def cluster_profiles(assigned: DataFrame, features: Sequence[str] = PROFILE_FEAT
     return out.withColumn("label", cluster_label("cluster", {f: f"{f}_mean" for f in have}))
 
 
+# Descriptors of a cluster by the means of its members. Of each group the first line with a true condition
+# holds; a condition is (metric, above or below, limit), and any one of a line's conditions makes it true.
+CLUSTER_WORDS = (
+    (
+        ("Very High Demand", (("passengers", "above", 50000),)),
+        ("High Demand", (("passengers", "above", 20000),)),
+        ("Moderate Demand", (("passengers", "above", 5000),)),
+        ("Low Demand", (("passengers", "any", 0),)),
+    ),
+    (
+        ("Critical Crowding", (("critical_crowding_share", "above", 0.2), ("crowding_share", "above", 0.4))),
+        ("High Crowding", (("crowding_share", "above", 0.2),)),
+        ("High Occupancy", (("occupancy_max_pct", "above", 85),)),
+    ),
+    (
+        ("Severe Delays", (("avg_delay_min", "above", 15), ("on_time_share", "below", 0.55))),
+        ("High Delays", (("avg_delay_min", "above", 10), ("on_time_share", "below", 0.7))),
+        ("High Reliability", (("on_time_share", "above", 0.9),)),
+    ),
+    (("Frequent Bunching", (("bunching_share", "above", 0.2),)),),
+    (("Underutilized", (("underutilized_share", "above", 0.5),)),),
+    (("Long Headways", (("avg_headway_min", "above", 20),)),),
+)
+
+
+def first_match(groups, means: Mapping[str, str]) -> list[Column]:
+    """For each group of lines the word of the first true one, or null; a missing or null mean is 0."""
+
+    def true(metric: str, side: str, limit: float) -> Column:
+        mean = F.coalesce(F.col(means[metric]), X.dbl(0.0)) if metric in means else X.dbl(0.0)
+        return {"above": mean > limit, "below": mean < limit}.get(side, F.lit(True))
+
+    def word(lines) -> Column:
+        return F.coalesce(*[F.when(reduce(or_, [true(*c) for c in conditions]), text) for text, conditions in lines])
+
+    return [word(lines) for lines in groups]
+
+
 def cluster_label(cluster_col: str, means: Mapping[str, str]) -> Column:
     """Up to three descriptors from the cluster's means."""
-    def m(name: str) -> Column:
-        return F.coalesce(F.col(means[name]), X.dbl(0.0)) if name in means else X.dbl(0.0)
-
-    demand = (
-        F.when(m("passengers") > 50000, "Very High Demand").when(m("passengers") > 20000, "High Demand")
-        .when(m("passengers") > 5000, "Moderate Demand").otherwise("Low Demand")
-    )
-    crowd = (
-        F.when((m("critical_crowding_share") > 0.2) | (m("crowding_share") > 0.4), "Critical Crowding")
-        .when(m("crowding_share") > 0.2, "High Crowding").when(m("occupancy_max_pct") > 85, "High Occupancy")
-    )
-    delay = (
-        F.when((m("avg_delay_min") > 15) | (m("on_time_share") < 0.55), "Severe Delays")
-        .when((m("avg_delay_min") > 10) | (m("on_time_share") < 0.7), "High Delays")
-        .when(m("on_time_share") > 0.9, "High Reliability")
-    )
-    bunching = F.when(m("bunching_share") > 0.2, "Frequent Bunching")
-    empty = F.when(m("underutilized_share") > 0.5, "Underutilized")
-    slow = F.when(m("avg_headway_min") > 20, "Long Headways")
-    words = F.slice(F.array_compact(F.array(demand, crowd, delay, bunching, empty, slow)), 1, 3)
+    words = F.slice(F.array_compact(F.array(*first_match(CLUSTER_WORDS, means))), 1, 3)
     return F.concat(F.lit("Cluster "), F.col(cluster_col).cast("string"), F.lit(": "), F.array_join(words, " / "))
 
 

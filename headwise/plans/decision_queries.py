@@ -1,4 +1,4 @@
-"""Alerts (D), recommendations (R), comparison (K) and scenarios (Q)."""
+"""Alerts (D), recommendations (R), comparison (K) and the baseline row (Q)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from headwise.operators import alerts as D
 from headwise.operators import compare as K
 from headwise.operators import recommendations as R
-from headwise.operators import scenario as Q
+from headwise.operators import baseline as Q
 from headwise.plans.catalog import query
 from headwise.plans.frames import DECISION_TABLES, NOW, PROFILE_TABLES, Layer
 from headwise.plans.oracle_decisions import ALERTS, RECOMMENDATIONS
@@ -291,60 +291,9 @@ def _(spark, root):
 
 BASELINE_TABLES = ("stop_metrics", "route_metrics", "daily_demand", "overcrowding_events", "persistent_overcrowding")
 
-# Scenarios --------------------------------------------------------------------------------------------------------
-
-
-def _projected(layer):
-    targets = {"route_specific_overcrowded": layer["persistent_overcrowding"]}
-    return Q.project(layer["route_metrics"], list(Q.TEMPLATES.values()), targets)
-
-
-def _estimated(layer):
-    total = layer["route_metrics"].agg(F.count(F.lit(1))).scalar()
-    return Q.estimates(_projected(layer), total)
+# Baseline ---------------------------------------------------------------------------------------------------------
 
 
 @query("Q01_baseline_row", "SELECT * FROM baseline_row")
 def _(spark, root):
     return Q.baseline(Layer(spark, root, *BASELINE_TABLES))
-
-
-@query("Q02_projected_routes", "SELECT * FROM projected")
-def _(spark, root):
-    return _projected(Layer(spark, root))
-
-
-@query(
-    "Q03_scenario_on_crowded_routes",
-    "SELECT route_id, passengers, occupancy_max_pct, avg_headway_min FROM projected WHERE scenario_id = 'route_specific_overcrowded'",
-)
-def _(spark, root):
-    layer = Layer(spark, root)
-    s = Q.scenario("route_specific_overcrowded")
-    out = Q.project(layer["route_metrics"], [s], {s.scenario_id: layer["persistent_overcrowding"]})
-    return out.select("route_id", "passengers", "occupancy_max_pct", "avg_headway_min")
-
-
-@query("Q04_scenario_estimates", "SELECT * FROM estimated")
-def _(spark, root):
-    return _estimated(Layer(spark, root))
-
-
-@query("Q04_scenario_deltas", "SELECT * FROM scenario_deltas")
-def _(spark, root):
-    layer = Layer(spark, root, *BASELINE_TABLES)
-    return Q.deltas(_estimated(layer), Q.baseline(layer))
-
-
-@query(
-    "Q06_scenario_wide_table",
-    "SELECT scenario_id, name, "
-    + ", ".join(
-        f"max(CASE WHEN metric = '{m}' THEN {c} END) AS {m}_{a}"
-        for m in Q.SUMMARY_METRICS for c, a in (("baseline", "baseline"), ("estimated", "estimated"), ("delta", "delta"), ("delta_pct", "pct"))
-    )
-    + " FROM scenario_deltas GROUP BY 1, 2",
-)
-def _(spark, root):
-    layer = Layer(spark, root, *BASELINE_TABLES)
-    return Q.wide(Q.deltas(_estimated(layer), Q.baseline(layer)))

@@ -137,31 +137,3 @@ SELECT CAST(count(*) AS DOUBLE) AS total_routes, avg(avg_delay_min) AS avg_delay
   (SELECT avg(p) FROM (SELECT sum(passengers) AS p FROM daily_demand GROUP BY date)) AS total_passengers_daily, (SELECT avg(r) FROM (SELECT sum(revenue) AS r FROM daily_demand GROUP BY date)) AS avg_revenue_daily,
   CAST((SELECT count(*) FROM overcrowding_events) AS DOUBLE) AS overcrowding_events, CAST((SELECT count(*) FILTER (WHERE is_bottleneck) FROM stop_metrics) AS DOUBLE) AS bottleneck_stops
 FROM route_metrics"""
-
-
-def scenario_values() -> str:
-    from headwise.operators.scenario import KNOBS, TEMPLATES
-
-    rows = ", ".join(
-        f"('{s.scenario_id}', '{s.name}', " + ", ".join(f"{float(getattr(s, k))!r}e0" for k in KNOBS) + ")" for s in TEMPLATES.values()
-    )
-    return f"(VALUES {rows}) s(scenario_id, name, {', '.join('k_' + k for k in KNOBS)})"
-
-
-VIEWS["projected"] = f"""
-SELECT scenario_id, name, route_id, passengers*k_demand AS passengers, avg_boardings_per_trip*k_demand AS avg_boardings_per_trip, avg_delay_min*k_delay AS avg_delay_min,
-  greatest(least(on_time_share - (avg_delay_min*k_delay - avg_delay_min)*0.02e0, 1), 0) AS on_time_share, occupancy_avg_pct*load AS occupancy_avg_pct, occupancy_max_pct*load AS occupancy_max_pct,
-  bunching_share*sqrt(1e0/supply) AS bunching_share, avg_headway_min/supply AS avg_headway_min, 80*k_capacity AS capacity, crowding_share*load AS crowding_share,
-  underutilized_share/greatest(load, 0.1e0) AS underutilized_share, avg_scheduled_travel_min + avg_delay_min*k_delay AS avg_actual_travel_min
-FROM (SELECT m.*, s.*, greatest(k_frequency*k_vehicles, 0.1e0) AS supply, coalesce((avg_boardings_per_trip*k_demand/(80e0*k_capacity))/nullif(avg_boardings_per_trip/80e0, 0), 1) AS load
-  FROM route_metrics m, {scenario_values()} WHERE scenario_id <> 'route_specific_overcrowded' OR m.route_id IN (SELECT route_id FROM persistent_overcrowding))"""
-VIEWS["estimated"] = """
-SELECT scenario_id, name, sum(passengers)/count(*)*(SELECT count(*) FROM route_metrics) AS total_passengers_daily, avg(avg_delay_min) AS avg_delay_min, avg(occupancy_avg_pct) AS avg_occupancy_avg_pct,
-  avg(occupancy_max_pct) AS avg_occupancy_max_pct, avg(on_time_share) AS on_time_share, avg(bunching_share) AS avg_bunching_share, avg(avg_headway_min) AS avg_headway_min,
-  CAST(count(*) FILTER (WHERE underutilized_share > 0.5e0) AS DOUBLE) AS underutilized_routes, CAST(count(*) FILTER (WHERE occupancy_max_pct >= 100) AS DOUBLE) AS overcrowding_events_est,
-  avg(avg_actual_travel_min) AS avg_actual_travel_min FROM projected GROUP BY 1, 2"""
-_METRICS = ("total_passengers_daily", "avg_delay_min", "avg_occupancy_avg_pct", "avg_occupancy_max_pct", "on_time_share", "avg_bunching_share", "avg_headway_min", "underutilized_routes")
-VIEWS["scenario_deltas"] = " UNION ALL ".join(
-    f"""SELECT e.scenario_id, e.name, '{m}' AS metric, e.{m} AS estimated, b.{m} AS baseline, e.{m} - b.{m} AS delta, coalesce((e.{m} - b.{m})*100/nullif(b.{m}, 0), 0) AS delta_pct FROM estimated e, baseline_row b"""
-    for m in _METRICS
-)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from headwise.operators import alerts as D
 from headwise.operators import compare as K
 from headwise.operators import recommendations as R
-from headwise.operators import scenario as Q
 
 
 def evidence(values):
@@ -62,49 +61,6 @@ def test_status_lifecycle(spark, tmp_path):
 
 
 ROUTE = (1, 10000.0, 50.0, 5.0, 0.85, 55.0, 85.0, 0.1, 10.0, 0.2, 0.1, 40.0)
-ROUTE_SCHEMA = (
-    "route_id long, passengers double, avg_boardings_per_trip double, avg_delay_min double, on_time_share double, "
-    "occupancy_avg_pct double, occupancy_max_pct double, bunching_share double, avg_headway_min double, "
-    "crowding_share double, underutilized_share double, avg_scheduled_travel_min double"
-)
-
-
-def projected(spark, **knobs):
-    df = spark.createDataFrame([ROUTE], ROUTE_SCHEMA)
-    return Q.project(df, [Q.Scenario("s", "s", **knobs)]).first()
-
-
-def test_more_demand(spark):
-    r = projected(spark, demand=1.2)
-    assert r["passengers"] == pytest.approx(12000) and r["avg_boardings_per_trip"] == pytest.approx(60)
-    assert r["occupancy_avg_pct"] > 55 and r["occupancy_max_pct"] > 85 and r["avg_delay_min"] == 5.0
-
-
-def test_more_capacity(spark):
-    r = projected(spark, capacity=1.2)
-    assert r["occupancy_avg_pct"] < 55 and r["capacity"] == pytest.approx(96)
-
-
-def test_more_vehicles_and_frequency(spark):
-    r = projected(spark, vehicles=1.2, frequency=1.2)
-    assert r["avg_headway_min"] == pytest.approx(10 / 1.44) and r["bunching_share"] == pytest.approx(0.1 / 1.2)
-
-
-def test_more_delay_lowers_punctuality(spark):
-    r = projected(spark, delay=1.2)
-    assert r["avg_delay_min"] == pytest.approx(6.0) and r["on_time_share"] == pytest.approx(0.83)
-
-
-def test_scenario_scope_and_templates(spark):
-    df = spark.createDataFrame([ROUTE, (2, *ROUTE[1:])], ROUTE_SCHEMA)
-    out = Q.project(df, [Q.Scenario("all", "all"), Q.Scenario("one", "one", routes=(2,))])
-    assert sorted((r["scenario_id"], r["route_id"]) for r in out.collect()) == [("all", 1), ("all", 2), ("one", 2)]
-    assert Q.scenario("demand_increase_20", capacity=1.5).capacity == 1.5
-    with pytest.raises(ValueError, match="Unknown scenario"):
-        Q.scenario("nope")
-    assert Q.scenario_table(spark, list(Q.TEMPLATES.values())).count() == 9
-
-
 def test_filters_are_no_ops_without_criteria(spark):
     df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-05"), (3, "2024-01-09")], "route_id long, date string")
     assert K.filter_in(df, "route_id", [1, 3]).count() == 2

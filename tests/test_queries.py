@@ -11,7 +11,7 @@ CHECKED = (
     "A32_service_level", "A35_route_reliability_profile", "B01_numeric_profile", "C24_cleaning_log", "C26_clean_trips",
     "D10_all_alerts", "F10_calendar_window_stats", "F13_prior_stats_network_day", "F16_rolling_previous_rows", "F19_trip_history_frame",
     "G05_segment_lengths", "J08_last_event_of_day", "K06_route_profiles", "L06_weekly_volumes", "M17_overall_metrics",
-    "P04_route_date_matrix", "Q06_scenario_wide_table", "R09_all_recommendations", "S02_write_csv", "V11_validate_layer", "X14_text_template",
+    "P04_route_date_matrix", "Q01_baseline_row", "R09_all_recommendations", "S02_write_csv", "V11_validate_layer", "X14_text_template",
 )
 
 
