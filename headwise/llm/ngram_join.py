@@ -258,7 +258,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = rows.join(wanted, ["k"]).where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("k", "text", "tiles", "copies")
+    # Candidates grow with the corpus, so both sides are shuffled at every size.
+    chosen = rows.join(wanted.hint("merge"), ["k"]).where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("k", "text", "tiles", "copies")
     tiles = chosen.mapInArrow(tile, _TILED).repartition(tasks, "tile").sortWithinPartitions("tile")
     found = written(tiles.mapInArrow(check, "k long, group long, links long"), "links")
     classes = components(found.select("group", "k"))
