@@ -66,7 +66,10 @@ def _(spark, root):
     return micros.select("event_id", F.date_trunc("second", store.to_timestamp(micros, "ts")).alias("ts"))
 
 
-@query("S05_area_listing")
+@query(
+    "S05_area_listing",
+    "SELECT 'nation' AS dataset, count(*) AS rows FROM nation UNION ALL SELECT 'region' AS dataset, count(*) AS rows FROM region",
+)
 def _(spark, root):
     base = _folder(spark)
     for name in ("region", "nation"):
@@ -152,7 +155,10 @@ def _(spark, root):
     return store.latest(log, "us", 50, "event_id").select("event_id", "value")
 
 
-@query("S14_development_sample")
+@query(
+    "S14_development_sample",
+    "SELECT trip_id, route_id, CAST(date AS VARCHAR) AS date FROM trips_core WHERE ('0x' || substr(md5(CAST(trip_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 10",
+)
 def _(spark, root):
     return store.development_sample(star.trips_core(spark, root), ["trip_id"], full=False, percent=10).select("trip_id", "route_id", "date")
 

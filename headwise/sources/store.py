@@ -162,5 +162,6 @@ def latest(df: DataFrame, time: str, limit: int, *ties: str) -> DataFrame:
 
 
 def development_sample(df: DataFrame, keys: Sequence[str], full: bool = True, percent: int = 1) -> DataFrame:
-    """All rows, or a stable hash sample of the keys for development runs."""
-    return df if full else df.where(F.pmod(F.xxhash64(*keys), F.lit(100)) < percent)
+    """All rows, or a stable hash sample of the keys (md5, which other engines have too) for development runs."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    return df if full else df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < percent)
