@@ -414,3 +414,52 @@ def _(spark, root):
 def _(spark, root):
     out = C.clean_tickets(star.raw_tickets(spark, root), star.valid_trips(spark, root), star.TICKET_ORDER, stage=materialise)
     return out.select("ticket_id", "trip_id", "route_id", "passenger_id", "distance_km", "fare", "travel_min", "pass_type")
+
+
+# A contract of the orders table that its data break in each way: a missing and an extra column, a wrong type, a value
+# outside its list, and values outside their bounds.
+ORDERS = contracts.TableContract(
+    "orders",
+    {
+        "o_orderkey": "integer", "o_custkey": "string", "o_orderstatus": "category", "o_totalprice": "numeric",
+        "o_orderdate": "datetime", "o_note": "string",
+    },
+    ("o_custkey",),
+    {"o_orderstatus": ("F", "O")},
+    {"o_totalprice": (5000, 400000)},
+)
+_HELD = "(SELECT column_name FROM information_schema.columns WHERE table_name = 'orders')"
+_WANTED = "(VALUES " + ", ".join(f"('{c}')" for c in ORDERS.columns) + ") w(c)"
+_MISSING = f"SELECT 'error' AS level, 'Missing required column: ' || c AS message FROM {_WANTED} WHERE c NOT IN {_HELD}"
+_EXTRA = f"SELECT '{{level}}' AS level, 'Unexpected column: ' || column_name AS message FROM {_HELD} WHERE column_name NOT IN (SELECT c FROM {_WANTED})"
+_TYPES = "SELECT '{level}' AS level, 'Type mismatch in o_custkey: expected string, found ' || lower(typeof(o_custkey)) AS message FROM (SELECT o_custkey FROM orders LIMIT 1)"
+_KEY = "SELECT 'error' AS level, 'Primary key o_custkey is not unique: ' || sum(n) || ' rows share a key' AS message FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)"
+_VALUES = "SELECT 'error' AS level, 'Invalid category values in o_orderstatus: ' || string_agg(v, ', ' ORDER BY v) AS message FROM (SELECT DISTINCT o_orderstatus AS v FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))"
+_BOUNDS = "SELECT 'error' AS level, 'o_totalprice: ' || count(*) || ' values below 5000' AS message FROM orders WHERE o_totalprice < 5000 UNION ALL SELECT 'error' AS level, 'o_totalprice: ' || count(*) || ' values above 400000' AS message FROM orders WHERE o_totalprice > 400000"
+
+
+def _contract_sql(level: str) -> str:
+    return " UNION ALL ".join((_MISSING, _EXTRA.format(level=level), _TYPES.format(level=level), _KEY, _VALUES, _BOUNDS))
+
+
+@query("V13_missing_and_extra_columns", f"SELECT * FROM ({_contract_sql('warning')}) WHERE message LIKE '%column: %'")
+def _(spark, root):
+    found = contracts.validate_dataset(star.table(spark, root, "orders"), "orders", contract=ORDERS)
+    return contracts.issue_rows(spark, found).where("message LIKE '%column: %'")
+
+
+@query("V15_type_conformance", f"SELECT * FROM ({_contract_sql('warning')}) WHERE message LIKE 'Type%'")
+def _(spark, root):
+    found = contracts.validate_dataset(star.table(spark, root, "orders"), "orders", contract=ORDERS)
+    return contracts.issue_rows(spark, found).where("message LIKE 'Type%'")
+
+
+@query("V18_strict_result", _contract_sql("error"))
+def _(spark, root):
+    found = contracts.validate_dataset(star.table(spark, root, "orders"), "orders", strict=True, contract=ORDERS)
+    return contracts.issue_rows(spark, found)
+
+
+@query("V19_validate_file", _contract_sql("warning"))
+def _(spark, root):
+    return contracts.issue_rows(spark, contracts.validate_file(spark, f"{root}/orders.parquet", contract=ORDERS))

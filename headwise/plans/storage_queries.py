@@ -68,7 +68,7 @@ def _(spark, root):
 
 @query(
     "S05_area_listing",
-    "SELECT 'nation' AS dataset, count(*) AS rows FROM nation UNION ALL SELECT 'region' AS dataset, count(*) AS rows FROM region",
+    "SELECT 'nation.parquet' AS dataset, count(*) AS rows FROM nation UNION ALL SELECT 'region.parquet' AS dataset, count(*) AS rows FROM region",
 )
 def _(spark, root):
     base = _folder(spark)

@@ -183,9 +183,9 @@ def invalid_values(df: DataFrame, column: str, allowed: Sequence[str], limit: in
     return bad.orderBy("value").limit(limit)
 
 
-def validate_dataset(df: DataFrame, name: str, strict: bool = False) -> ContractResult:
-    """Check one dataset against its contract; strict mode turns warnings into errors."""
-    contract = CONTRACTS.get(name)
+def validate_dataset(df: DataFrame, name: str, strict: bool = False, contract: TableContract | None = None) -> ContractResult:
+    """Check one dataset against its contract, by name or given; strict mode turns warnings into errors."""
+    contract = contract or CONTRACTS.get(name)
     if contract is None:
         return ContractResult(False, [f"Unknown dataset: {name}"], [], {})
     errors, warnings = [], []
@@ -217,7 +217,15 @@ def validate_dataset(df: DataFrame, name: str, strict: bool = False) -> Contract
     return ContractResult(not errors, errors, warnings, info)
 
 
-def validate_file(spark: SparkSession, path: str, name: str | None = None, strict: bool = False) -> ContractResult:
+def issue_rows(spark: SparkSession, result: ContractResult) -> DataFrame:
+    """A result as a table of levels and messages; there are at most a few for each column of a contract."""
+    rows = [("error", m) for m in result.errors] + [("warning", m) for m in result.warnings]
+    return spark.createDataFrame(rows, "level string, message string")
+
+
+def validate_file(
+    spark: SparkSession, path: str, name: str | None = None, strict: bool = False, contract: TableContract | None = None
+) -> ContractResult:
     """Validate one file by extension; the dataset name defaults to the file's stem."""
     from headwise.sources import store
 
@@ -228,7 +236,7 @@ def validate_file(spark: SparkSession, path: str, name: str | None = None, stric
         df = store.read_dataset(spark, path)
     except Exception as e:  # the reader's own message goes into the report
         return ContractResult(False, [f"Failed to load {path}: {type(e).__name__}"], [], {})
-    return validate_dataset(df, name or stem, strict)
+    return validate_dataset(df, name or stem, strict, contract)
 
 
 def validate_folder(spark: SparkSession, folder: str, strict: bool = False) -> dict[str, ContractResult]:
