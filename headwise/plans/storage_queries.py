@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from headwise.operators import aggregates as A
 from headwise.operators import compare as K
+from headwise.operators import rollups as P
 from headwise.plans import frames
 from headwise.plans.catalog import query
 from headwise.plans.frames import Layer, unique
@@ -166,3 +167,31 @@ def _(spark, root):
 @query("S15_column_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem")
 def _(spark, root):
     return star.table(spark, root, "lineitem").select("l_orderkey", "l_quantity")
+
+
+@query("L01_append_entries", "SELECT event_id, epoch_us(ts) AS us, action, component, status FROM run_log")
+def _(spark, root):
+    """Two batches appended one after the other read back as one log."""
+    log, path = star.run_log(spark, root), f"{_folder(spark)}/run_log.parquet"
+    P.append_log(log.where("status = 'ok'"), path)
+    P.append_log(log.where("status != 'ok'"), path)
+    return spark.read.schema(log.schema).parquet(path).select("event_id", F.unix_micros("ts").alias("us"), "action", "component", "status")
+
+
+@query(
+    "K09_filtered_accessor",
+    "SELECT route_id, CAST(date AS VARCHAR) AS date, passengers FROM daily_demand WHERE route_id IN (0, 1, 3) AND CAST(date AS DATE) BETWEEN DATE '1994-06-01' AND DATE '1996-12-31'",
+)
+def _(spark, root):
+    folder = _folder(spark)
+    frames.daily_demand(spark, root).write.parquet(f"{folder}/daily_demand.parquet")
+    found = K.DataAccess(spark, folder).daily_demand([0, 1, 3], "1994-06-01", "1996-12-31")
+    return found.select("route_id", F.col("date").cast("string").alias("date"), "passengers")
+
+
+@query("K09_filtered_events", "SELECT route_id, count(*) AS events FROM overcrowding_events WHERE severity IN ('critical') GROUP BY 1")
+def _(spark, root):
+    folder = _folder(spark)
+    Layer(spark, root)["overcrowding_events"].write.parquet(f"{folder}/overcrowding_events.parquet")
+    found = K.DataAccess(spark, folder).overcrowding_events(severity=["critical"])
+    return found.groupBy("route_id").agg(F.count(F.lit(1)).alias("events"))
