@@ -174,14 +174,16 @@ def stop_metrics(visits: DataFrame, stops: DataFrame, t: S.Thresholds = T, keep:
     return bottlenecks(out, t).join(stops.select("stop_id", "stop_name", "zone"), "stop_id", "left")
 
 
-def stop_time_bands(visits: DataFrame, t: S.Thresholds = T) -> DataFrame:
-    return visits.groupBy("stop_id", "time_band").agg(
+def stop_time_bands(visits: DataFrame, t: S.Thresholds = T, stops: DataFrame | None = None) -> DataFrame:
+    """Visits of each stop and band; with ``stops``, also the stop's name and zone."""
+    bands = visits.groupBy("stop_id", "time_band").agg(
         F.count(F.lit(1)).alias("visits"),
         F.sum("boarded").alias("boardings"),
         F.sum("alighted").alias("alightings"),
         F.avg("arr_delay_min").alias("avg_arr_delay_min"),
         X.share(F.col("occupancy_after") >= t.crowding_high).alias("crowding_share"),
     )
+    return bands if stops is None else bands.join(stops.select("stop_id", "stop_name", "zone"), "stop_id", "left")
 
 
 def daily_demand(rides: DataFrame) -> DataFrame:

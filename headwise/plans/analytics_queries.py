@@ -84,13 +84,14 @@ def _(spark, root):
 
 @query(
     "A11_stop_time_bands",
-    """SELECT stop_id, time_band, count(*) AS visits, sum(boarded) AS boardings, sum(alighted) AS alightings, avg(arr_delay_min) AS avg_arr_delay_min,
-    avg(CAST(occupancy_after >= 0.85e0 AS INT)) AS crowding_share FROM stop_facts GROUP BY 1, 2""",
+    """SELECT b.*, stop_name, zone FROM (SELECT stop_id, time_band, count(*) AS visits, sum(boarded) AS boardings, sum(alighted) AS alightings, avg(arr_delay_min) AS avg_arr_delay_min,
+    avg(CAST(occupancy_after >= 0.85e0 AS INT)) AS crowding_share FROM stop_facts GROUP BY 1, 2) b LEFT JOIN stops s ON b.stop_id = s.stop_id""",
 )
 def _(spark, root):
     from headwise.functions import scalars as X
 
-    return A.stop_time_bands(star.raw_stop_visits(spark, root).withColumn("time_band", X.time_band("hour")))
+    visits = star.raw_stop_visits(spark, root).withColumn("time_band", X.time_band("hour"))
+    return A.stop_time_bands(visits, stops=star.stops(spark, root))
 
 
 @query("A12_daily_demand", DATED.format(view="daily_demand"))

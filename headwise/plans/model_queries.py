@@ -376,7 +376,7 @@ def _(spark, root):
 
 
 def _clusters(spark, root):
-    return Mo.cluster(Layer(spark, root)["route_metrics"], k_range=range(2, 7))
+    return Mo.cluster(Layer(spark, root)["route_metrics"], k_range=range(2, 11))
 
 
 @query("M28_route_clusters")
@@ -408,6 +408,18 @@ def _(spark, root):
     return out.select("version_id", "model_name", "engine", F.unix_seconds("trained_at").alias("trained_s"), "metric")
 
 
+@query("M30_registered_versions", "SELECT * FROM model_versions WHERE engine = 'tree'")
+def _(spark, root):
+    """Versions registered in two batches, then listed by engine."""
+    from headwise.session import shared_folder
+
+    path, found = f"{shared_folder(spark)}/versions-{frames.unique()}", star.model_versions(spark, root)
+    M.register_versions(found.where("engine = 'tree'"), path)
+    M.register_versions(found.where("engine != 'tree'"), path)
+    out = M.versions(spark.read.schema(found.schema).parquet(path), engine="tree")
+    return out.select("version_id", "model_name", "engine", F.unix_seconds("trained_at").alias("trained_s"), "metric")
+
+
 @query("M31_aligned_probabilities")
 def _(spark, root):
     train, val, _ = _class_split(spark, root)
