@@ -10,15 +10,19 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 from headwise.llm.bpe import PATTERN
 
 #: Distinct pieces and words that a worker remembers, and their longest length; neither changes a result.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 48
+#: Marks that are words of their own after letters.
+MARKS = (".", ",", "!", "?", ";", ":")
 
 
 class LibraryTokens:
@@ -31,8 +35,8 @@ class LibraryTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)])).search
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.adjacent = re.compile(r"\s\s").search
         self.find = regex.compile(PATTERN).findall
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -40,24 +44,57 @@ class LibraryTokens:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces, each with a blank before it."""
-        cut = {x: (" " + x,) if x.isalpha() else self.find(" " + x) for x in pieces}
-        new = {w for words in cut.values() for w in words}.difference(self.words)
+    def _plain(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters with a blank before each: a run of them is one text that falls apart at the blanks."""
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for run, found in zip(runs, self.library.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = array("I", found.ids).tobytes()
+            ends = np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(run))) * 4
+            start = 0
+            for end in ends.tolist():
+                yield ids[start:end]
+                start = end
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces, each with a blank before it."""
+        plain: list[str] = []
+        marked: list[tuple[str, str, str]] = []
+        mixed: dict[str, list[str]] = {}
+        for x in pieces:
+            if x.isalpha():
+                plain.append(x)
+            elif x[-1:] in MARKS and x[:-1].isalpha():
+                marked.append((x, " " + x[:-1], x[-1]))
+            else:
+                mixed[x] = self.find(" " + x)
+        wanted = {" " + x for x in plain}
+        wanted.update(w for _, w, _ in marked)
+        wanted.update(m for _, _, m in marked)
+        for words in mixed.values():
+            wanted.update(words)
+        new = wanted.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-            new = {w for words in cut.values() for w in words}
-        order = list(new)
-        self.words.update(zip(order, self._library(order), strict=True))
+            new = wanted
+        letters = [w for w in new if w[1:].isalpha() and w[0] == " "]
+        other = list(new.difference(letters))
+        self.words.update(zip(letters, self._plain(letters), strict=True))
+        self.words.update(zip(other, self._library(other), strict=True))
         get = self.words.__getitem__
-        found = {x: b"".join(map(get, words)) for x, words in cut.items()}
-        for word in order:
+        self.pieces.update((x, get(" " + x)) for x in plain)
+        self.pieces.update((x, get(w) + get(m)) for x, w, m in marked)
+        self.pieces.update((x, b"".join(map(get, words))) for x, words in mixed.items())
+        for word in new:
             if len(word) > LONGEST_REMEMBERED:
                 del self.words[word]
-        return found
+
+    def _is_whole(self, text: str) -> bool:
+        """Whether the library gets the text as it is."""
+        ends = text[:1].isspace() or text[-1:].isspace()
+        return ends or any(t in text for t in self.special) or self.adjacent(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, text in enumerate(texts) if self.whole(text) or text[:1].isspace() or text[-1:].isspace()]
+        whole = [i for i, text in enumerate(texts) if self._is_whole(text)]
         apart = set(range(len(texts))).difference(whole)
         cut = {i: texts[i].split(" ") for i in apart}
         firsts = {i: pieces.pop(0) for i, pieces in cut.items()}
@@ -66,7 +103,7 @@ class LibraryTokens:
         if len(self.pieces) + len(new) > REMEMBERED:
             self.pieces.clear()
             new = wanted
-        self.pieces.update(self._learn(new))
+        self._learn(new)
         get = self.pieces.__getitem__
         out = [b""] * len(texts)
         order = list(apart)
