@@ -38,7 +38,7 @@ class LibraryTokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.adjacent = re.compile(r"\s\s").search
         self.find = regex.compile(PATTERN).findall
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -56,20 +56,20 @@ class LibraryTokens:
                 start = end
 
     def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, each with a blank before it."""
-        plain: list[str] = []
-        marked: list[tuple[str, str, str]] = []
-        mixed: dict[str, list[str]] = {}
+        """Remember the ids of pieces, each with a blank before it; None where white spaces meet."""
+        plain, marked, mixed = [], [], {}
         for x in pieces:
             if x.isalpha():
                 plain.append(x)
             elif x[-1:] in MARKS and x[:-1].isalpha():
-                marked.append((x, " " + x[:-1], x[-1]))
+                marked.append(x)
+            elif not x or x[0].isspace() or x[-1].isspace() or self.adjacent(x):
+                self.pieces[x] = None  # it touches white space: its text goes to the library whole
             else:
                 mixed[x] = self.find(" " + x)
         wanted = {" " + x for x in plain}
-        wanted.update(w for _, w, _ in marked)
-        wanted.update(m for _, _, m in marked)
+        wanted.update([" " + x[:-1] for x in marked])
+        wanted.update({x[-1] for x in marked})
         for words in mixed.values():
             wanted.update(words)
         new = wanted.difference(self.words)
@@ -82,21 +82,14 @@ class LibraryTokens:
         self.words.update(zip(other, self._library(other), strict=True))
         get = self.words.__getitem__
         self.pieces.update((x, get(" " + x)) for x in plain)
-        self.pieces.update((x, get(w) + get(m)) for x, w, m in marked)
+        self.pieces.update((x, get(" " + x[:-1]) + get(x[-1])) for x in marked)
         self.pieces.update((x, b"".join(map(get, words))) for x, words in mixed.items())
         for word in new:
             if len(word) > LONGEST_REMEMBERED:
                 del self.words[word]
 
-    def _is_whole(self, text: str) -> bool:
-        """Whether the library gets the text as it is."""
-        ends = text[:1].isspace() or text[-1:].isspace()
-        return ends or any(t in text for t in self.special) or self.adjacent(text) is not None
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, text in enumerate(texts) if self._is_whole(text)]
-        apart = set(range(len(texts))).difference(whole)
-        cut = {i: texts[i].split(" ") for i in apart}
+        cut = {i: text.split(" ") for i, text in enumerate(texts) if not any(t in text for t in self.special)}
         firsts = {i: pieces.pop(0) for i, pieces in cut.items()}
         wanted = set().union(*cut.values())
         new = wanted.difference(self.pieces)
@@ -105,10 +98,15 @@ class LibraryTokens:
             new = wanted
         self._learn(new)
         get = self.pieces.__getitem__
-        out = [b""] * len(texts)
-        order = list(apart)
-        for i, first in zip(order, self._library([firsts[i] for i in order]), strict=True):
-            out[i] = first + b"".join(map(get, cut[i]))
+        out, whole = [b""] * len(texts), list(set(range(len(texts))).difference(cut))
+        for (i, pieces), first in zip(cut.items(), self._library(list(firsts.values())), strict=True):
+            if firsts[i][-1:].isspace():
+                whole.append(i)
+                continue
+            try:
+                out[i] = first + b"".join(map(get, pieces))
+            except TypeError:  # a piece that touches white space
+                whole.append(i)
         for piece in new:
             if len(piece) > LONGEST_REMEMBERED:
                 del self.pieces[piece]
