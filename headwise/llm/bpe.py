@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import text_of
+from headwise.llm.common import sole_memory, text_of
 
 #: Distinct pieces that a worker remembers; the memory is bounded, the results do not depend on it.
 REMEMBERED = 250_000
@@ -152,12 +152,17 @@ class ByteBpe:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def byte_bpe(path: str) -> ByteBpe:
-    """One encoder for each vocabulary and worker."""
+@lru_cache(maxsize=1)
+def _byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def byte_bpe(path: str) -> ByteBpe:
+    """The worker's encoder of a vocabulary."""
+    sole_memory("byte bpe", _byte_bpe.cache_clear)
+    return _byte_bpe(path)
+
+
 def encode_column(text: Column, path: str) -> Column:
     """Token ids of a text as binary: little-endian unsigned 32-bit integers."""
 

@@ -51,6 +51,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_SOLE: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str, forget: Callable[[], None]) -> None:
+    """Say that this worker now remembers things for one operator, and drop what it kept for another before.
+
+    Python workers outlive a stage; without this, each stage of a pipeline would leave its memory to the next.
+    """
+    if name not in _SOLE:
+        for other in list(_SOLE.values()):
+            other()
+        _SOLE.clear()
+        _SOLE[name] = forget
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Short runs of rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def at_most(rows: list, size: Callable[[object], int], bound: int) -> Iterator[list]:
     """Cut a list of items into runs whose sizes add up to the bound, or hold one item."""
     run, total = [], 0

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import fresh, groups, text_of, written
+from headwise.llm.common import fresh, groups, sole_memory, text_of, written
 from headwise.llm.components import components
 
 WORDS = 5
@@ -86,10 +86,16 @@ class Shingler:
 
 
 @lru_cache(maxsize=1)
-def shingler() -> Shingler:
+def _shingler() -> Shingler:
     return Shingler()
 
 
+def shingler() -> Shingler:
+    """The worker's shingler."""
+    sole_memory("shingles", _shingler.cache_clear)
+    return _shingler()
+
+
 def buckets(shingles: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of the MinHash signature; none for an empty set."""
     if not len(shingles):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, text_of, written
+from headwise.llm.common import at_most, slices, text_of, written
 from headwise.llm.tokens import library_tokens
 
 AT_ONCE = 1 << 21
@@ -75,7 +75,7 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, sent = library_tokens(vocabulary), TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
             for run in at_most(rows, lambda r: len(r[1]), AT_ONCE):
                 ids = [x + end for x in tokens.encode([r[1] for r in run])]
@@ -140,7 +140,7 @@ def pack(
     )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*(batch.column(n).to_pylist() for n in ("doc_id", "queue", "first", "ids")), strict=True)
             for run in at_most(list(rows), lambda r: len(r[3]), AT_ONCE):
                 out: list[list] = [[] for _ in range(8)]

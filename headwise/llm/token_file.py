@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, text_of, written
+from headwise.llm.common import at_most, slices, text_of, written
 from headwise.llm.tokens import library_tokens
 
 BLOCK = 128
@@ -145,7 +145,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
                 names=["part", "segment", "first_id", "n_ids", "docs", "data"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for run in at_most(rows, lambda r: len(r[1]), AT_ONCE):
                 for (doc_id, _), ids in zip(run, tokens.encode([r[1] for r in run]), strict=True):
@@ -169,7 +169,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a file set: id, ids of all documents before it, number of ids, and the ids as binary (u32)."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             for row in batch.to_pylist():
                 ids = Reader(row["data"]).read().astype("<u4", copy=False)
                 lengths = np.array([d["n_tokens"] for d in row["docs"]], dtype=np.int64)

@@ -17,9 +17,10 @@ import numpy as np
 import regex
 
 from headwise.llm.bpe import PATTERN
+from headwise.llm.common import sole_memory
 
 #: Distinct pieces and words that a worker remembers, and their longest length; neither changes a result.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 48
 #: Marks that are words of their own after letters.
 MARKS = (".", ",", "!", "?", ";", ":")
@@ -115,6 +116,12 @@ class LibraryTokens:
         return out
 
 
-@lru_cache(maxsize=4)
-def library_tokens(path: str) -> LibraryTokens:
+@lru_cache(maxsize=1)
+def _library_tokens(path: str) -> LibraryTokens:
     return LibraryTokens(path)
+
+
+def library_tokens(path: str) -> LibraryTokens:
+    """The worker's encoder of a vocabulary."""
+    sole_memory("library tokens", _library_tokens.cache_clear)
+    return _library_tokens(path)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, text_of
+from headwise.llm.common import at_most, sole_memory, text_of
 
 #: Words of a block, blocks of a window, and blocks from one window to the next.
 BLOCK, BLOCKS, STEP = 8, 4, 3
@@ -301,6 +301,7 @@ _LAST: dict[str, Scorer] = {}
 
 def _scorer(key: str, model: Callable[[], Model]) -> Scorer:
     """The worker's scorer for a model; it remembers words from task to task."""
+    sole_memory("toxicity", _LAST.clear)
     if key not in _LAST:
         _LAST.clear()
         _LAST[key] = Scorer(model())
