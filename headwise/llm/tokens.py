@@ -20,7 +20,7 @@ from headwise.llm.bpe import PATTERN
 from headwise.llm.common import sole_memory
 
 #: Distinct pieces and words that a worker remembers, and their longest length; neither changes a result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
 #: Marks that are words of their own after letters.
 MARKS = (".", ",", "!", "?", ";", ":")
