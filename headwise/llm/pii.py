@@ -8,7 +8,10 @@ A pattern's matches and the pieces between them come from the text; their length
 points, the end exclusive. Base kinds are email, ip, card and phone; the added kind is iban (mod 97). Base spans that
 pass their check are kept whatever their score; added ones need ``threshold``.
 
-Edge cases: a null text is empty and has no spans; spans of different kinds may overlap and are all listed, and are
+An account number has the length that its country registered, so what follows it does not matter; with a country code
+outside the registry it is the longest run of whole words that mod 97 confirms. Every place where one may start is tried.
+
+Edge cases: a null text is empty and has no spans; spans of different kinds, and account numbers, may overlap and are all listed, and are
 replaced together as one stretch when a text is redacted; equal starts follow the order of the kinds; repeated rows
 and other columns pass through; an empty table gives an empty one.
 """
@@ -26,14 +29,35 @@ from headwise.llm.common import fresh, text_of
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, the text that any match must contain, the score of a confirmed match, and words that raise it."""
+    """A pattern, the text that any match must contain, the score of a confirmed match, and words that raise it.
+
+    A pattern that is ``ahead`` consumes one character and takes its match, group 1, by looking ahead, so that a match
+    does not hide one that starts inside it.
+    """
 
     name: str
     pattern: str
     needs: str | None
     score: float
     words: str
-
+    ahead: bool = False
+
+
+#: Characters of an account number by country code (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_REGISTERED = "|".join(IBAN_LENGTHS.values())
+_EXACT = "|".join(rf"(?:{codes})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+_IBAN = (
+    r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])(?=("
+    rf"(?:{_EXACT})(?![A-Za-z0-9])"
+    rf"|(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}}+[A-Za-z0-9]?+"
+    r"))[A-Z]"
+)
 
 KINDS = (
     # \G is the end of the match before: a match may start there, inside a run, as in the plain pattern.
@@ -41,7 +65,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.7, "card|visa|credit|payment|number"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.6, "iban|bank|account|konto|transfer"),
+    Kind("iban", _IBAN, None, 0.6, "iban|bank|account|konto|transfer", ahead=True),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 #: Code points on each side of a span that are searched for its words.
@@ -84,6 +108,20 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def whole_number(run: Column) -> Column:
+    """The account number that a run of capitals and digits begins with: all of it where the country's length is known,
+    else its longest confirmed part that ends with a word, or the run itself where none is."""
+    cut = F.transform(
+        F.filter(
+            F.transform(F.sequence(F.char_length(run), F.lit(15), F.lit(-1)), lambda n: F.struct(F.left(run, n).alias("part"), F.substring(run, n + 1, F.lit(1)).alias("next"))),
+            lambda c: ~c["part"].endswith(" ") & ~c["part"].rlike("[a-z]$") & ~c["next"].rlike("[A-Za-z0-9]"),
+        ),
+        lambda c: c["part"],
+    )
+    first = F.get(F.filter(cut, lambda part: confirmed("iban", part)), F.lit(0))
+    return F.when(run.rlike(f"^(?:{_REGISTERED})"), run).otherwise(F.coalesce(first, run))
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Name a value inside an expression, so that it is computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -127,6 +165,8 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans", threshold: flo
             (
                 F.when(F.contains(F.col(text_), F.lit(k.needs)), F.regexp_extract_all(F.col(text_), F.lit(k.pattern), F.lit(0))).otherwise(none)
                 if k.needs
+                else F.transform(F.regexp_extract_all(F.col(text_), F.lit(k.pattern), F.lit(1)), whole_number)
+                if k.ahead
                 else F.regexp_extract_all(F.col(text_), F.lit(k.pattern), F.lit(0))
             ).alias(matches[k.name])
             for k in KINDS
@@ -143,7 +183,7 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans", threshold: flo
         return F.zip_with(
             F.slice(F.col(pieces[k.name]), F.lit(1), F.size(matches[k.name])),
             F.col(matches[k.name]),
-            lambda p, m: (F.char_length(p) + F.char_length(m)).cast("long"),
+            lambda p, m: (F.char_length(p) + (F.lit(1) if k.ahead else F.char_length(m))).cast("long"),
         )
 
     out = out.select(
@@ -158,8 +198,10 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans", threshold: flo
         m, p, e = F.col(matches[k.name]), F.col(pieces[k.name]), F.col(ends[k.name])
 
         def one(found: Column, i: Column) -> Column:
-            end = F.get(e, i)
-            near = F.concat_ws(" ", F.right(F.get(p, i), F.lit(NEAR)), F.left(F.get(p, i + 1), F.lit(NEAR)))
+            end, after = F.get(e, i), F.get(p, i + 1)
+            if k.ahead:  # the piece behind the consumed character begins with the rest of the match
+                end, after = end - 1 + F.char_length(found), F.substring(after, F.char_length(found), F.lit(NEAR))
+            near = F.concat_ws(" ", F.right(F.get(p, i), F.lit(NEAR)), F.left(after, F.lit(NEAR)))
             score = (
                 F.lit(k.score)
                 + F.when(near.rlike(f"(?i)\\b(?:{k.words})"), WORD_ADDS).otherwise(0.0)

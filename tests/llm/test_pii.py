@@ -62,6 +62,28 @@ def test_account_numbers_need_check_and_score(spark):
     assert got == {1: ["iban"], 2: [], 3: [], 4: ["iban"], 5: ["iban"]}
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = {
+        "bank DE89370400440532013000 Bitte": ["DE89370400440532013000"],
+        "iban DE89370400440532013000 12 Euro": ["DE89370400440532013000"],
+        "iban GB82 WEST 1234 5698 7654 32 Please pay": ["GB82 WEST 1234 5698 7654 32"],
+        "iban DE89370400440532013000 BIC COBADEFF": ["DE89370400440532013000"],
+        "bank NL91 ABNA 0417 1643 00 FR14 2004 1010 0505 0001 3M02 606 bank": ["NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606"],
+        "é😀 bank AB12 CODE DE89370400440532013000\nKONTO": ["DE89370400440532013000"],
+        "NO9386011117947 1 iban": ["NO9386011117947"],
+        "account MT84MALT011000012345MTLCAST001S OK": ["MT84MALT011000012345MTLCAST001S"],
+        "bank ZZ80539007547034 Q 1": ["ZZ80539007547034"],
+        "bank DE88370400440532013000 Bitte, DE89370400440532013000X, DE89370400440532013000x, xDE89370400440532013000": [],
+    }
+    rows = list(enumerate(texts))
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.text: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in got.collect()} == texts
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == "bank [IBAN] Bitte" and clean[2] == "iban [IBAN] Please pay"
+    many = spark.createDataFrame([(1, "AB12 " * 10_000), (2, "DE89 3704 0044 0532 0130 00 " * 2_000)], "doc_id long, text string")
+    assert {r.doc_id: sum(s.kind == "iban" for s in r.spans) for r in pii.find(many, threshold=0.0).collect()} == {1: 0, 2: 2_000}
+
+
 def test_time_is_linear_in_long_runs(spark):
     df = spark.createDataFrame([(1, "a" * 2_000_000 + "@"), (2, "1" * 2_000_000 + "."), (3, "a@b" + ".c" * 500_000)], "doc_id long, text string")
     assert sorted((r.doc_id, len(r.spans)) for r in pii.find(df).collect()) == [(1, 0), (2, 0), (3, 1)]
