@@ -6,7 +6,8 @@ same spans in time linear in the text.
 
 A pattern's matches and the pieces between them come from the text; their lengths give the places. Spans are code
 points, the end exclusive. Base kinds are email, ip, card and phone; the added kind is iban (mod 97). Base spans that
-pass their check are kept whatever their score; added ones need ``threshold``.
+pass their check are kept whatever their score; added ones need ``threshold``. The registered query and ``redact`` use
+``EVERY``, so that context adjusts the score of a confirmed span but never drops it.
 
 An account number has the length that its country registered, so what follows it does not matter; with a country code
 outside the registry it is the longest run of whole words that mod 97 confirms. Every place where one may start is tried.
@@ -70,6 +71,8 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS[:4])
 #: Code points on each side of a span that are searched for its words.
 NEAR = 40
+#: The threshold that keeps every confirmed span.
+EVERY = 0.0
 #: What a nearby word adds to the score, and an example marker takes from it.
 WORD_ADDS, EXAMPLE_TAKES = 0.3, 0.2
 _EXAMPLE = "(?i)\\b(?:example|sample|dummy|test)\\b"
@@ -232,6 +235,11 @@ def listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """The score of each span to two places, in the order of ``listed``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -242,7 +250,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     Finding spans takes time in proportion to the text; cutting them out takes, for a text that has spans, a walk to each.
     """
     (spans,) = fresh(df, "spans")
-    found = find(df, text, spans)
+    found = find(df, text, spans, EVERY)
     stretches = F.aggregate(
         F.col(spans),
         F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"),

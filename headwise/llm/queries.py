@@ -52,12 +52,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_personal_data")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=pii.EVERY)
     return found.select(
         "doc_id",
         *[pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE],
         F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
+        pii.scores(F.col("spans")).alias("scores"),
     )
 
 

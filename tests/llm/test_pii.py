@@ -84,6 +84,16 @@ def test_account_numbers_end_where_their_country_says(spark):
     assert {r.doc_id: sum(s.kind == "iban" for s in r.spans) for r in pii.find(many, threshold=0.0).collect()} == {1: 0, 2: 2_000}
 
 
+def test_confirmed_account_numbers_need_no_context(spark, tmp_path):
+    good, bad = "DE89370400440532013000", "DE88370400440532013000"
+    rows = [(1, f"virement {good} merci"), (2, f"{good}|{bad}"), (3, f"test {good}"), (4, f"x {bad} y"), (5, f"iban {good}, a@b.c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.scores) for r in QUERIES["op3_personal_data"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("iban:9:31", "0.60"), 2: ("iban:0:22", "0.60"), 3: ("iban:5:27", "0.40"), 4: ("", ""), 5: ("iban:5:27,email:29:34", "0.90,0.90")}
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean == {1: "virement [IBAN] merci", 2: f"[IBAN]|{bad}", 3: "test [IBAN]", 4: f"x {bad} y", 5: "iban [IBAN], [EMAIL]"}
+
+
 def test_time_is_linear_in_long_runs(spark):
     df = spark.createDataFrame([(1, "a" * 2_000_000 + "@"), (2, "1" * 2_000_000 + "."), (3, "a@b" + ".c" * 500_000)], "doc_id long, text string")
     assert sorted((r.doc_id, len(r.spans)) for r in pii.find(df).collect()) == [(1, 0), (2, 0), (3, 1)]
