@@ -17,9 +17,11 @@ from headwise.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the rejection score go."""
+    """Documents whose score reaches the rejection score go; all stay where the labels train no network."""
     (score,) = fresh(docs, "score")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    if model.network is None:  # labels of both classes are missing: the score would be one number for all
+        return docs
     return toxicity.score(docs, model, score_col=score).where(F.col(score) < toxicity.REJECT).drop(score)
 
 

@@ -59,6 +59,20 @@ def test_stages(spark, tmp_path):
         assert ids == [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
 
 
+def test_labels_of_one_class_or_none_drop_nothing(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some plain words").alias("text"))
+    cases = {
+        "empty": "id < 0", "toxic": "id >= 0", "others": "id >= 0", "unlabelled": "id >= 0",
+        "held_out": "crc32(cast(cast(id as string) as binary)) % 4 = 2",
+    }
+    for name, kept in cases.items():
+        key = F.col("id") + (1000 if name == "others" else 0)
+        value = F.lit(None) if name == "unlabelled" else F.when(F.lit(name == "toxic"), 1).otherwise(F.col("id") % 2)
+        labels = spark.range(40).where(kept).select(key.alias("doc_id"), F.lit(1).alias("quality"), value.cast("int").alias("toxic"))
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == 40, name
+
+
 def test_empty_tables(spark, tmp_path):
     folder, *_ = fixture(spark, tmp_path)
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
