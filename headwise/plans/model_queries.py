@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from headwise import settings as S
 from headwise.functions import scalars as X
-from headwise.functions.scans import micros_chunk
 from headwise.operators import features as Fe
 from headwise.operators import metrics as M
 from headwise.operators import models as Mo
@@ -26,10 +25,7 @@ DEMAND_FEATURES = [
     "lag1_boardings", "lag2_boardings", "lag7_boardings", "lag14_boardings", "roll7_mean_boardings",
     "roll7_median_boardings", "roll7_std_boardings", "roll28_mean_boardings", "route_code",
 ]
-CLASS_FEATURES = [
-    "hour", "weekday", "is_peak_int", "weather_code", "direction", "route_prior_delay_mean", "route_prior_delay_std",
-    "route_date_prior_delay_mean", "vehicle_prior_delay_mean",
-]
+CLASS_FEATURES = [name for names in Fe.FEATURE_PROVENANCE.values() for name in names]
 VIEWS["occupancy_cells"] = "SELECT route_id, date, time_band, avg(occupancy_max_pct) AS actual FROM trips_core GROUP BY 1, 2, 3"
 VIEWS["occupancy_pred"] = """SELECT *, avg(actual) OVER (PARTITION BY route_id, time_band ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS predicted FROM occupancy_cells"""
 VIEWS["stored_classes"] = f"""SELECT trip_id, delay_severity AS actual, CASE WHEN boardings*0.3e0 <= 5 THEN 'on time' WHEN boardings*0.3e0 <= 9 THEN 'moderate' WHEN boardings*0.3e0 <= 30 THEN 'severe' ELSE 'critical' END AS predicted,
@@ -237,9 +233,10 @@ def _(spark, root):
 
 @query("M15_predict_delay_for_day")
 def _(spark, root):
-    train, _, test = _delay_split(spark, root)
-    model = Mo.fit_regressor(train, DELAY_FEATURES, "avg_delay_min", Mo.DELAY_TREES[0])
-    return Mo.predict_subset(model, test, date="2024-01-29").select(*KEYS, "avg_delay_min", "predicted")
+    """Every day of the test window, by the model that M14 selects."""
+    train, val, test = _delay_split(spark, root)
+    out = Mo.select_regressor(train, val, test, DELAY_FEATURES, "avg_delay_min", Mo.DELAY_TREES, -10.0, 60.0)
+    return Mo.predict_subset(out.model, test).select(*KEYS, "avg_delay_min", "predicted")
 
 
 @query(
@@ -288,21 +285,33 @@ def _(spark, root):
 
 
 def _class_frame(spark, root):
-    core = star.trips_core(spark, root)
-    order, chunk = ["us", "trip_id"], micros_chunk("us")
-    levels = {"route_prior_delay": ["route_id"], "route_date_prior_delay": ["route_id", "date"]}
-    df = Fe.prior_stats_levels(core, ["route_id"], levels, DELAY, order, chunk, core)
-    df = Fe.prior_stats_levels(df, ["vehicle_id"], {"vehicle_prior_delay": ["vehicle_id"]}, DELAY, order, chunk, core)
-    df = df.select("*", F.col("is_peak").cast("int").alias("is_peak_int"), X.code_of("weather", S.WEATHER_CODES).alias("weather_code"))
     cols = ["trip_id", *KEYS, "is_peak", "us", DELAY, *CLASS_FEATURES]
-    return materialise(M.attach_target(df.select(*cols), SEVERITY), "class_frame")
+    return materialise(M.attach_target(frames.history(spark, root).select(*cols), SEVERITY), "class_frame")
 
 
-def _class_split(spark, root):
-    parts = M.split_by_days(_class_frame(spark, root), HORIZON, VAL)
+def _class_parts(frame):
+    parts = M.split_by_days(frame, HORIZON, VAL)
     return Mo.with_imputation(parts[0], parts, CLASS_FEATURES)
 
 
+def _class_split(spark, root):
+    return _class_parts(_class_frame(spark, root))
+
+
+def _ranked(frame):
+    """Every candidate ranked over three folds of the rows before the test window."""
+    train, val, _ = M.split_by_days(frame, HORIZON, VAL)
+    folds = M.expanding_folds(train.unionByName(val), n_folds=3, val_days=VAL, ties=["trip_id"])
+    filled = [tuple(Mo.with_imputation(t, [t, v], CLASS_FEATURES)) for t, v in folds]
+    return Mo.sweep(filled, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS, top=3)
+
+
+def _winner_split(spark, root):
+    """The candidate that M23 ranks first, and the windows."""
+    frame = _class_frame(spark, root)
+    return _ranked(frame)[0][0], *_class_parts(frame)
+
+
 @query("M18_binary_auc")
 def _(spark, root):
     status = M.TARGETS["delay_status"]
@@ -317,7 +326,7 @@ def _(spark, root):
 def _(spark, root):
     train, val, _ = _class_split(spark, root)
     out = None
-    for c in (Mo.CLASSIFIERS[0], Mo.CLASSIFIERS[2], Mo.CLASSIFIERS[4]):
+    for c in Mo.CLASSIFIERS:
         pred = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, c).predict(val)
         row = M.overall_metrics(M.confusion(pred, "target")).select(F.lit(c.name).alias("candidate"), "*")
         out = row if out is None else out.unionByName(row)
@@ -333,18 +342,14 @@ def _(spark, root):
 
 @query("M23_candidate_sweep")
 def _(spark, root):
-    d = _class_frame(spark, root)
-    folds = []
-    for train, val in M.expanding_folds(d, n_folds=2, val_days=VAL, ties=["trip_id"]):
-        folds.append(tuple(Mo.with_imputation(train, [train, val], CLASS_FEATURES)))
-    ranked = Mo.sweep(folds, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS[:4], top=2)
+    ranked = _ranked(_class_frame(spark, root))
     return spark.createDataFrame([(c.name, a, b, acc, n) for c, a, b, acc, n in ranked], Mo.SWEEP_SCHEMA)
 
 
 @query("M24_class_multipliers")
 def _(spark, root):
-    train, val, _ = _class_split(spark, root)
-    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS[2])
+    winner, train, val, _ = _winner_split(spark, root)
+    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, winner)
     probs = materialise(model.probabilities(val).select("trip_id", "target", "probs"), "val_probs")
     factors, _, _ = Mo.tune_multipliers(probs, SEVERITY.labels)
     return Mo.with_label(probs, SEVERITY.labels, factors).select("trip_id", "target", "predicted")
@@ -352,24 +357,24 @@ def _(spark, root):
 
 @query("M25_final_classifier_run")
 def _(spark, root):
-    train, val, test = _class_split(spark, root)
-    pred, info = Mo.final_run(train, val, test, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS[2], materialise)
+    winner, train, val, test = _winner_split(spark, root)
+    pred, info = Mo.final_run(train, val, test, CLASS_FEATURES, SEVERITY.labels, winner, materialise)
     probs = [c for c in pred.columns if c.startswith("prob_")]
     return pred.select("trip_id", *KEYS, DELAY, "target", "predicted", "predicted_adjusted", *probs)
 
 
 @query("M26_permutation_importance")
 def _(spark, root):
-    train, val, _ = _class_split(spark, root)
-    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS[0])
-    rows = Mo.permutation_importance(model, materialise(val, "importance_rows"), "trip_id", CLASS_FEATURES[:4], repeats=2)
+    winner, train, val, _ = _winner_split(spark, root)
+    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, winner)
+    rows = Mo.permutation_importance(model, materialise(val, "importance_rows"), "trip_id", CLASS_FEATURES, repeats=5)
     return spark.createDataFrame(rows, Mo.IMPORTANCE_SCHEMA)
 
 
 @query("M27_predict_latest_trip")
 def _(spark, root):
-    train, _, test = _class_split(spark, root)
-    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS[0])
+    winner, train, _, test = _winner_split(spark, root)
+    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, winner)
     latest = Mo.latest_rows(test, KEYS, F.col("us").desc(), F.col("trip_id").desc())
     pred = model.predict(latest)
     return pred.select("trip_id", *KEYS, "is_peak", DELAY, "target", "predicted", *[F.col("probs")[i].alias(f"p{i}") for i in range(4)])
@@ -422,8 +427,8 @@ def _(spark, root):
 
 @query("M31_aligned_probabilities")
 def _(spark, root):
-    train, val, _ = _class_split(spark, root)
-    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS[2])
+    winner, train, val, _ = _winner_split(spark, root)
+    model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, winner)
     probs = model.probabilities(val)
     return probs.select("trip_id", *[F.col("probs")[i].alias(v.replace(" ", "_")) for i, v in enumerate(SEVERITY.labels)])
 
