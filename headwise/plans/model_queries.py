@@ -198,7 +198,7 @@ def _(spark, root):
 
 
 @query("M12_occupancy_forecast_latest")
-def _(spark, root):
+def occupancy_forecast(spark, root):
     model, pred, full = _occ_model(spark, root)
     out = Mo.forecast_latest(model, full, ["route_id", "time_band"], Mo.residual_bounds(pred, "occupancy_max_pct"))
     return out.select(*KEYS, "forecast_date", "occupancy_max_pct", "predicted", "lower_bound", "upper_bound", "horizon_days")
@@ -232,7 +232,7 @@ def _(spark, root):
 
 
 @query("M15_predict_delay_for_day")
-def _(spark, root):
+def delay_prediction(spark, root):
     """Every day of the test window, by the model that M14 selects."""
     train, val, test = _delay_split(spark, root)
     out = Mo.select_regressor(train, val, test, DELAY_FEATURES, "avg_delay_min", Mo.DELAY_TREES, -10.0, 60.0)

@@ -8,10 +8,11 @@ from headwise.functions import scalars as X
 from headwise.operators import aggregates as A
 from headwise.operators import features as Fe
 from headwise.operators import rollups as P
-from headwise.plans import frames
+from headwise.plans import frames, model_queries
 from headwise.plans.catalog import query
 from headwise.plans.frames import Layer
 from headwise.plans.oracle import VIEWS
+from headwise.session import materialise
 from headwise.sources import star
 
 VIEWS["run_log"] = """
@@ -192,6 +193,36 @@ def _(spark, root):
     return P.prediction_means(_trailing(spark, root, DELAY), "route_id", "predicted")
 
 
+def _stored_forecast(spark, root):
+    """The output of M12, written to the shared folder and read again."""
+    return materialise(model_queries.occupancy_forecast(spark, root), "occupancy_forecast")
+
+
+def _stored_delay(spark, root):
+    """The output of M15, written to the shared folder and read again."""
+    return materialise(model_queries.delay_prediction(spark, root), "delay_prediction")
+
+
+@query("P15_stored_forecast_summary")
+def _(spark, root):
+    return P.prediction_summary(_stored_forecast(spark, root), "predicted", 85.0)
+
+
+@query("P15_stored_forecast_route_means")
+def _(spark, root):
+    return P.prediction_means(_stored_forecast(spark, root), "route_id", "predicted", "lower_bound", "upper_bound")
+
+
+@query("P17_stored_delay_summary")
+def _(spark, root):
+    return P.prediction_summary(_stored_delay(spark, root), "predicted", 15.0)
+
+
+@query("P17_stored_delay_route_means")
+def _(spark, root):
+    return P.prediction_means(_stored_delay(spark, root), "route_id", "predicted")
+
+
 # Run log ----------------------------------------------------------------------------------------------------------
 
 
