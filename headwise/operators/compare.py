@@ -77,6 +77,20 @@ def compare(
     return chosen.unpivot([key], metrics, "metric", "value")
 
 
+def transposed(long: DataFrame, key: str, prefix: str, always: Sequence = (), limit: int = 1_000) -> DataFrame:
+    """One row per metric and one column per compared entity, in the order of the ids; more than ``limit`` are refused.
+
+    Ids in ``always`` have a column, of nulls, also where they are not compared.
+    """
+    ids = [r[0] for r in long.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).limit(limit + 1).collect()]
+    if len(ids) > limit:
+        raise ValueError(f"more than {limit} entities to compare: select fewer")
+    ids = sorted({*ids, *always})
+    if not ids:
+        return long.select("metric").distinct()
+    return long.groupBy("metric").agg(*[F.max(F.when(F.col(key) == F.lit(i), F.col("value"))).alias(f"{prefix}{i}") for i in ids])
+
+
 def median_differences(long: DataFrame, key: str = "route_id", digits: int | None = None) -> DataFrame:
     """Difference of every value from the selection's median of its metric (metrics with at least two values)."""
     have = long.where(F.col("value").isNotNull())

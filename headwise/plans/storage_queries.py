@@ -121,9 +121,6 @@ def _(spark, root):
     return store.read_dataset(spark, path, q.schema)
 
 
-_ROUTES = [f"r{i}" for i in range(20)]
-
-
 @query(
     "S11_transposed_comparison",
     " UNION ALL ".join(
@@ -133,8 +130,7 @@ _ROUTES = [f"r{i}" for i in range(20)]
 )
 def _(spark, root):
     long = K.compare(Layer(spark, root)["route_metrics"], None, ["delay"])
-    matrix = long.withColumn("c", F.concat(F.lit("r"), F.col("route_id").cast("string"))).groupBy("metric").pivot("c", _ROUTES).agg(F.max("value"))
-    return _round_trip(spark, matrix, "comparison.csv")
+    return _round_trip(spark, K.transposed(long, "route_id", "r", always=range(20)), "comparison.csv")
 
 
 @query("S12_report_bundle", "SELECT 'daily_demand' AS dataset, count(*) AS rows FROM daily_demand UNION ALL SELECT 'quality_days', count(*) FROM quality_days")

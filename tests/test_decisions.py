@@ -96,3 +96,11 @@ def test_difference_needs_two_values(spark):
 def test_unknown_ranking_metric(spark):
     with pytest.raises(ValueError):
         K.rank(spark.range(1), "speed")
+
+
+def test_transposed_comparison_holds_every_entity(spark):
+    long = spark.createDataFrame([(i, "m", float(i)) for i in (3, 25, 117)] + [(25, "n", 1.0)], "route_id long, metric string, value double")
+    out = {r["metric"]: r.asDict() for r in K.transposed(long, "route_id", "r").collect()}
+    assert out == {"m": {"metric": "m", "r3": 3.0, "r25": 25.0, "r117": 117.0}, "n": {"metric": "n", "r3": None, "r25": 1.0, "r117": None}}
+    with pytest.raises(ValueError, match="more than 2"):
+        K.transposed(long, "route_id", "r", limit=2)
