@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, quality, sharding, token_file, toxicity
+from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, quality, sharding, token_file, toxicity, vector_codes
 from headwise.llm.common import read_table, scratch_path, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
+
+
+def vector_code_sql(rounds: int = 4) -> str:
+    """Rounds of nearest entries and floored means as a chain of tables; nearest: smallest distance, then smallest index."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, p, min(d * 256 + e) AS best FROM (
+            SELECT rid, p, e, sum((x - c) * (x - c))::BIGINT AS d FROM cut JOIN b{r} USING (p, pos) GROUP BY rid, p, e) GROUP BY rid, p)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT p, e, pos, coalesce(m, c) AS c FROM b{r} LEFT JOIN (
+                SELECT p, best % 256 AS e, pos, (sum(x)::BIGINT - ((sum(x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS m
+                FROM a{r} JOIN cut USING (rid, p) GROUP BY ALL) USING (p, e, pos))""")
+    return f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS rid, len(embedding) AS n,
+            list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS xs
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS MATERIALIZED (SELECT rid, i // (n // 4) AS p, i % (n // 4) AS pos, x FROM (
+            SELECT rid, n, unnest(xs) AS x, unnest(range(n)) AS i FROM kept)),
+        b0 AS MATERIALIZED (SELECT p, rid AS e, pos, x AS c FROM cut WHERE rid < 256),
+        {", ".join(steps)},
+        coded AS (SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+            (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, pos)) FROM b{rounds}) AS codebooks_sha256 FROM kept JOIN coded USING (rid)"""
+
+
+@query("op13_vector_codes", vector_code_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
