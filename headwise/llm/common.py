@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and return its scan: the lineage ends there, and its size is known."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +74,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def row_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary column without nulls, and where each row begins and the last ends."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, places, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    offsets = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, bound: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts add up to the bound, or single rows of longer ones."""
+    for batch in batches:
+        ends, start = row_bytes(batch.column(column))[1], 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + bound, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def at_most(rows: list, size: Callable[[object], int], bound: int) -> Iterator[list]:
     """Cut a list of items into runs whose sizes add up to the bound, or hold one item."""
     run, total = [], 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, quality, sharding, token_file, toxicity, vector_codes
+from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, quality, resampling, sharding, token_file, toxicity, vector_codes
 from headwise.llm.common import read_table, scratch_path, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+#: CRC-32 by bytes from a table of 256 steps; features are distinct before they get their bucket.
+RESAMPLING_SQL = r"""WITH steps AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || range(8),
+            lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(256) r(i))),
+    texts AS (SELECT true AS own, doc_id, text FROM documents UNION ALL SELECT false, NULL, text FROM benchmark),
+    cut AS MATERIALIZED (SELECT own, doc_id, row_number() OVER () AS rid, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+    found AS MATERIALIZED (SELECT own, rid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM cut),
+    hashed AS MATERIALIZED (SELECT f, xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(0, strlen(f)),
+            lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::BIGINT), lambda s, b: xor(t[xor(s % 256, b) + 1], s // 256))) % 10000 AS bucket
+        FROM (SELECT DISTINCT f FROM found), steps),
+    counted AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM found JOIN hashed USING (f) GROUP BY bucket),
+    gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counted),
+    summed AS (SELECT rid, sum(gain)::BIGINT AS total FROM found JOIN hashed USING (f) JOIN gains USING (bucket) WHERE own GROUP BY rid),
+    scored AS (SELECT doc_id, len(w) AS words, greatest(2 * len(w) - 1, 0)::BIGINT AS n_features,
+            coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+            (weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT) AS score
+        FROM cut LEFT JOIN summed USING (rid) WHERE own),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (words >= 20) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 25 * n // 100 THEN r END AS rank FROM placed"""
+
+
+@query("op11_importance_resampling", RESAMPLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def vector_code_sql(rounds: int = 4) -> str:
     """Rounds of nearest entries and floored means as a chain of tables; nearest: smallest distance, then smallest index."""
     steps = []
