@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import ann_tree, bpe, merkle, ngram_join, packing, pii, quality, resampling, sharding, token_file, toxicity, vector_codes
+from headwise.llm import ann_tree, bpe, line_index, merkle, ngram_join, packing, pii, quality, resampling, sharding, token_file, toxicity, vector_codes
 from headwise.llm.common import read_table, scratch_path, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+#: Keys are counted over documents; lines of a common key stay in the largest document only.
+LINE_SQL = r"""WITH ends AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS white),
+    lines AS MATERIALIZED (SELECT doc_id, i, line, translate(trim(line, white), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents), ends),
+    common AS (SELECT key, max(doc_id) AS largest FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    marked AS (SELECT doc_id, i, line, largest IS NOT NULL AND doc_id < largest AS gone FROM lines LEFT JOIN common USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
+@query("op12_line_dedup", LINE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_index.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def vector_code_sql(rounds: int = 4) -> str:
     """Rounds of nearest entries and floored means as a chain of tables; nearest: smallest distance, then smallest index."""
     steps = []
