@@ -8,7 +8,6 @@ ties need no rule, and one long word of n bytes takes O(n log n) steps.
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
@@ -18,11 +17,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import sole_memory, text_of
+from headwise.llm.common import give_back, row_bytes, sole_memory, text_of, text_runs
+from headwise.llm.pieces import LONGEST_REMEMBERED, Pieces
 
-#: Distinct pieces that a worker remembers; the memory is bounded, the results do not depend on it.
-REMEMBERED = 250_000
-LONGEST_REMEMBERED = 48
+#: Distinct words inside pieces that a worker remembers; the memory is bounded, the results do not depend on it.
+REMEMBERED = 100_000
+#: Bytes that are encoded or decoded at a time.
+AT_ONCE = 1 << 22
 
 #: Above any symbol id; two ids make one number.
 PAIR = 1 << 32
@@ -96,7 +97,7 @@ class _Remembered(dict):
         return ids
 
 
-class ByteBpe:
+class ByteBpe(Pieces):
     """Encoder and decoder of one vocabulary file in the tokenizers library's JSON form."""
 
     def __init__(self, path: str):
@@ -111,14 +112,17 @@ class ByteBpe:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[vocab[a] * PAIR + vocab[b]] = rank
             self.merged.append(vocab[a + b])
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.strings = {i: bytes(as_byte[c] for c in token) for token, i in vocab.items()}
-        self.strings |= {i: token.encode() for token, i in self.special.items()}
+        added = spec.get("added_tokens", [])
+        if any(t.get(way) for t in added for way in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in what is beside them are not supported")
+        self.special_ids = {t["content"]: t["id"] for t in added}
+        strings = {i: bytes(as_byte[c] for c in token) for token, i in vocab.items()}
+        strings |= {i: token.encode() for token, i in self.special_ids.items()}
+        self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)], pa.binary())
         self.find = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.adjacent_space = re.compile(r"\s\s").search  # a little more than the pattern's white space, which only costs time
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special_ids, key=len, reverse=True))) + ")").split if self.special_ids else None
         self.words = _Remembered(self._word)
-        self.chunks = _Remembered(self._chunk)
+        super().__init__(list(self.special_ids))
 
     def _word(self, word: str) -> bytes:
         ids = merge_symbols([self.of_byte[b] for b in word.encode()], self.ranks, self.merged)
@@ -130,26 +134,30 @@ class ByteBpe:
         return b"".join(map(self.words.__getitem__, self.find(" " + chunk)))
 
     def _ordinary(self, text: str) -> bytes:
-        if self.adjacent_space(text):
-            return b"".join(map(self.words.__getitem__, self.find(text)))
-        # Without two white spaces in a row no piece reaches over a blank, so the text falls apart at its blanks.
-        first, *rest = text.split(" ")
-        if rest and not rest[-1]:
-            rest.pop()
-            tail = self.words[" "]
-        else:
-            tail = b""
-        return b"".join(map(self.words.__getitem__, self.find(first))) + b"".join(map(self.chunks.__getitem__, rest)) + tail
-
-    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.find(text)))
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return list(map(self._chunk, pieces))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode_one, texts))
+
+    def encode_one(self, text: str) -> bytes:
         """The ids of a text, little-endian unsigned 32-bit."""
-        if self.cut and any(token in text for token in self.special):
+        if self.cut and any(token in text for token in self.special_ids):
             parts = self.cut(text)
-            return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._ordinary(p) for p in parts if p)
+            return b"".join(self.special_ids[p].to_bytes(4, "little") if p in self.special_ids else self._ordinary(p) for p in parts if p)
         return self._ordinary(text) if text else b""
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, rows: pa.Array) -> pa.Array:
+        """The text of each row's ids."""
+        data, offsets = row_bytes(rows)
+        strings = self.strings.take(pa.array(data.view("<u4")))
+        if strings.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        whole, places = row_bytes(strings)
+        ends = places[offsets // 4]
+        return pa.array([whole[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
 
 @lru_cache(maxsize=1)
@@ -168,8 +176,10 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        one = byte_bpe(path).encode
-        return pa.array([one(t.as_py()) for t in texts], pa.binary())
+        one = byte_bpe(path)
+        out = [one.encode(texts.slice(a, n)) for a, n in text_runs(texts, AT_ONCE)]
+        give_back()
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return encode(text)
 
@@ -179,8 +189,10 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        one = byte_bpe(path).decode
-        return pa.array([one(memoryview(r.as_py()).cast("I")) for r in rows], pa.string())
+        one = byte_bpe(path)
+        out = [one.decode(rows.slice(a, n)) for a, n in text_runs(rows, AT_ONCE)]
+        give_back()
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode(ids)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,33 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+class Recent:
+    """A memory of values by string, bounded in bytes: where the newer half is full, the older one is forgotten."""
+
+    def __init__(self, bound: int):
+        self.bound, self.size = bound, 0
+        self.new: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def found(self, keys: list[str]) -> list:
+        """The value of each key, None where it is not remembered."""
+        out = list(map(self.new.get, keys))
+        if self.old:
+            old = self.old.get
+            for i, value in enumerate(out):
+                if value is None:
+                    out[i] = old(keys[i])
+        return out
+
+    def put(self, values: dict[str, Any]) -> None:
+        """Remember values of any size that ``len`` tells."""
+        size = 200 * len(values) + sum(map(len, values)) + sum(map(len, values.values()))
+        if self.size + size > self.bound // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new.update(values)
+        self.size += size
+
+
 _SOLE: dict[str, Callable[[], None]] = {}
 
 
@@ -65,6 +95,18 @@ def sole_memory(name: str, forget: Callable[[], None]) -> None:
             other()
         _SOLE.clear()
         _SOLE[name] = forget
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task holds what it remembers and no more."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -85,14 +127,21 @@ def row_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_runs(texts: pa.Array, bound: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows whose texts add up to the bound, or of single rows of longer ones."""
+    ends, start = row_bytes(texts)[1], 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + bound, side="right")) - 1)
+        yield start, stop - start
+        start = stop
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, bound: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts add up to the bound, or single rows of longer ones."""
+    """Such runs of all batches, by the texts of one column; memory goes back to the system at the end."""
     for batch in batches:
-        ends, start = row_bytes(batch.column(column))[1], 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + bound, side="right")) - 1)
-            yield batch.slice(start, stop - start)
-            start = stop
+        for start, rows in text_runs(batch.column(column), bound):
+            yield batch.slice(start, rows)
+    give_back()
 
 
 def at_most(rows: list, size: Callable[[object], int], bound: int) -> Iterator[list]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, slices, text_of, written
+from headwise.llm.common import by_bytes, slices, text_of, written
 from headwise.llm.tokens import library_tokens
 
 BLOCK = 128
@@ -29,7 +29,7 @@ BLOCK = 128
 FITTING = 0.9
 #: Ids of a segment, unless one document alone is longer.
 SEGMENT = 1 << 16
-#: Characters that are tokenized at a time.
+#: Bytes of text that are tokenized at a time.
 AT_ONCE = 1 << 21
 
 _HEAD = struct.Struct("<4sIII")  # name, ids, blocks, exceptions
@@ -145,17 +145,15 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
                 names=["part", "segment", "first_id", "n_ids", "docs", "data"],
             )
 
-        for batch in slices(batches):
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for run in at_most(rows, lambda r: len(r[1]), AT_ONCE):
-                for (doc_id, _), ids in zip(run, tokens.encode([r[1] for r in run]), strict=True):
-                    size = len(ids) // 4 + 1
-                    if n and n + size > SEGMENT:
-                        yield row()
-                        segment, first, docs, held, n = segment + 1, first + n, [], [], 0
-                    docs.append({"doc_id": doc_id, "n_tokens": size})
-                    held += [ids, end]
-                    n += size
+        for batch in by_bytes(batches, "text", AT_ONCE):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text"), end).to_pylist(), strict=True):
+                size = len(ids) // 4
+                if n and n + size > SEGMENT:
+                    yield row()
+                    segment, first, docs, held, n = segment + 1, first + n, [], [], 0
+                docs.append({"doc_id": doc_id, "n_tokens": size})
+                held.append(ids)
+                n += size
         if n:
             yield row()
 

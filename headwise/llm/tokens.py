@@ -1,34 +1,25 @@
 """Token ids by the tokenizers library, for operators that only need the ids.
 
-A text without two white spaces in a row falls apart at its blanks into pieces whose ids do not depend on each other. A
-piece falls into words by the vocabulary's pattern, and the library encodes each distinct word once for a worker. Other
-texts, and texts with a special token, go to it whole.
+The library encodes each distinct piece of a batch (see ``pieces``), many pieces in one text, which falls apart again
+where a token begins with a blank. Edge cases are those of ``pieces``.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-from headwise.llm.bpe import PATTERN
 from headwise.llm.common import sole_memory
+from headwise.llm.pieces import Pieces
 
-#: Distinct pieces and words that a worker remembers, and their longest length; neither changes a result.
-REMEMBERED = 300_000
-LONGEST_REMEMBERED = 48
-#: Marks that are words of their own after letters.
-MARKS = (".", ",", "!", "?", ";", ":")
+#: Pieces that go to the library as one text.
+RUN = 400
 
 
-class LibraryTokens:
-    """Ids as little-endian unsigned 32-bit integers for lists of texts."""
-
+class LibraryTokens(Pieces):
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
@@ -36,83 +27,24 @@ class LibraryTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.adjacent = re.compile(r"\s\s").search
-        self.find = regex.compile(PATTERN).findall
-        self.pieces: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
+        self.library.model._resize_cache(0)  # it only gets distinct pieces
+        vocabulary = self.library.get_vocab()
+        self.after_blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.after_blank[[i for token, i in vocabulary.items() if token[:1] == "Ġ"]] = True  # the letter of the byte 0x20
+        super().__init__([t.content for t in self.library.get_added_tokens_decoder().values()])
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of letters with a blank before each: a run of them is one text that falls apart at the blanks."""
-        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for run, found in zip(runs, self.library.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = array("I", found.ids).tobytes()
-            ends = np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(run))) * 4
-            start = 0
-            for end in ends.tolist():
-                yield ids[start:end]
-                start = end
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, each with a blank before it; None where white spaces meet."""
-        plain, marked, mixed = [], [], {}
-        for x in pieces:
-            if x.isalpha():
-                plain.append(x)
-            elif x[-1:] in MARKS and x[:-1].isalpha():
-                marked.append(x)
-            elif not x or x[0].isspace() or x[-1].isspace() or self.adjacent(x):
-                self.pieces[x] = None  # it touches white space: its text goes to the library whole
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        runs = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)]
+        for run, data in zip(runs, self._whole([" " + " ".join(run) for run in runs]), strict=True):
+            starts = (np.nonzero(self.after_blank[np.frombuffer(data, "<u4")])[0] * 4).tolist()
+            if len(starts) == len(run):
+                out += [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
             else:
-                mixed[x] = self.find(" " + x)
-        wanted = {" " + x for x in plain}
-        wanted.update([" " + x[:-1] for x in marked])
-        wanted.update({x[-1] for x in marked})
-        for words in mixed.values():
-            wanted.update(words)
-        new = wanted.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = wanted
-        letters = [w for w in new if w[1:].isalpha() and w[0] == " "]
-        other = list(new.difference(letters))
-        self.words.update(zip(letters, self._plain(letters), strict=True))
-        self.words.update(zip(other, self._library(other), strict=True))
-        get = self.words.__getitem__
-        self.pieces.update((x, get(" " + x)) for x in plain)
-        self.pieces.update((x, get(" " + x[:-1]) + get(x[-1])) for x in marked)
-        self.pieces.update((x, b"".join(map(get, words))) for x, words in mixed.items())
-        for word in new:
-            if len(word) > LONGEST_REMEMBERED:
-                del self.words[word]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = {i: text.split(" ") for i, text in enumerate(texts) if not any(t in text for t in self.special)}
-        firsts = {i: pieces.pop(0) for i, pieces in cut.items()}
-        wanted = set().union(*cut.values())
-        new = wanted.difference(self.pieces)
-        if len(self.pieces) + len(new) > REMEMBERED:
-            self.pieces.clear()
-            new = wanted
-        self._learn(new)
-        get = self.pieces.__getitem__
-        out, whole = [b""] * len(texts), list(set(range(len(texts))).difference(cut))
-        for (i, pieces), first in zip(cut.items(), self._library(list(firsts.values())), strict=True):
-            if firsts[i][-1:].isspace():
-                whole.append(i)
-                continue
-            try:
-                out[i] = first + b"".join(map(get, pieces))
-            except TypeError:  # a piece that touches white space
-                whole.append(i)
-        for piece in new:
-            if len(piece) > LONGEST_REMEMBERED:
-                del self.pieces[piece]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+                out += self._whole([" " + x for x in run])
         return out
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from headwise.llm import bpe
@@ -12,24 +14,33 @@ LETTERS = [*"ab  \n\t'sréñ1२½.,!— 　\x1c\x85​😀", " 's", "<|endofte
 
 
 def ids_of(text):
-    return list(memoryview(bpe.byte_bpe(PATH).encode(text)).cast("I"))
+    return ids_of_all(bpe.byte_bpe(PATH), [text])[0]
+
+
+def ids_of_all(one, texts):
+    return [list(memoryview(b).cast("I")) for b in one.encode(pa.array(texts, pa.string())).to_pylist()]
 
 
 def test_equals_the_library_on_random_texts():
     library, random_ = Tokenizer.from_file(PATH), random.Random(5)
-    for _ in range(3000):
-        text = "".join(random_.choice(LETTERS) for _ in range(random_.randint(0, 16)))
-        want = library.encode(text, add_special_tokens=False).ids
-        assert ids_of(text) == want, text
-        assert bpe.byte_bpe(PATH).decode(want) == library.decode(want, skip_special_tokens=False)
+    texts = ["".join(random_.choice(LETTERS) for _ in range(random_.randint(0, 16))) for _ in range(3000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    one = bpe.byte_bpe(PATH)
+    for k in range(0, 3000, 300):
+        assert ids_of_all(one, texts[k : k + 300]) == want[k : k + 300]
+    assert [list(memoryview(one.encode_one(t)).cast("I")) for t in texts] == want
+    packed = pa.array([b"".join(i.to_bytes(4, "little") for i in ids) for ids in want], pa.binary())
+    assert one.decode(packed).to_pylist() == [library.decode(ids, skip_special_tokens=False) for ids in want]
+    with pytest.raises(Exception, match="vocabulary|out of bounds"):
+        one.decode(pa.array([(10**6).to_bytes(4, "little")], pa.binary()))
 
 
 def test_very_long_word_and_forgotten_memory(monkeypatch):
     library, text = Tokenizer.from_file(PATH), "abcde" * 20_000
     assert ids_of(text) == library.encode(text, add_special_tokens=False).ids
     monkeypatch.setattr(bpe, "REMEMBERED", 2)
-    one = bpe.ByteBpe(PATH)
-    assert list(memoryview(one.encode("one two three one two")).cast("I")) == library.encode("one two three one two", add_special_tokens=False).ids
+    for _ in range(2):
+        assert ids_of_all(bpe.ByteBpe(PATH), ["one two's three one.two"]) == [library.encode("one two's three one.two", add_special_tokens=False).ids]
 
 
 def test_edge_rows_and_clashing_columns(spark):

@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from headwise.llm import token_file, tokens
+from headwise.llm import pieces, token_file, tokens
 from headwise.llm.common import scratch_path
 from headwise.llm.queries import QUERIES
 
@@ -45,11 +46,13 @@ def test_library_ids_by_pieces(monkeypatch):
     letters = [*"ab  \n\t'sé1.,　\x1c😀", "<|endoftext|>", "x" * 60]
     texts = ["".join(random_.choice(letters) for _ in range(random_.randint(0, 14))) for _ in range(2000)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    for bound in (tokens.REMEMBERED, 3):
-        monkeypatch.setattr(tokens, "REMEMBERED", bound)
+    for bound in (pieces.REMEMBERED, 1000):
+        monkeypatch.setattr(pieces, "REMEMBERED", bound)
         one = tokens.LibraryTokens(PATH)
-        got = [b for k in range(0, 2000, 97) for b in one.encode(texts[k : k + 97])]
-        assert [list(memoryview(b).cast("I")) for b in got] == want
+        for end in (b"", b"\x07\0\0\0"):
+            got = [b for k in range(0, 2000, 97) for b in one.encode(pa.array(texts[k : k + 97]), end).to_pylist()]
+            assert [list(memoryview(b).cast("I")) for b in got] == [[*w, *[7] * bool(end)] for w in want]
+    assert len(one.encode(pa.array([], pa.string()))) == 0
 
 
 def test_edge_rows(spark, monkeypatch):
