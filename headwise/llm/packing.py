@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, slices, text_of, written
+from headwise.llm.common import at_most, by_bytes, row_bytes, slices, text_of, written
 from headwise.llm.tokens import library_tokens
 
 AT_ONCE = 1 << 21
@@ -75,25 +75,23 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, sent = library_tokens(vocabulary), TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
-        for batch in slices(batches):
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            for run in at_most(rows, lambda r: len(r[1]), AT_ONCE):
-                ids = [x + end for x in tokens.encode([r[1] for r in run])]
-                before = []
-                for (_, _, source), x in zip(run, ids, strict=True):
-                    before.append(sent.get(source, 0))
-                    sent[source] = before[-1] + len(x) // 4
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in run], pa.int64()),
-                        pa.array([r[2] for r in run], pa.string()),
-                        pa.array([part] * len(run), pa.int32()),
-                        pa.array(before, pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "source", "part", "in_part", "n_tokens", "ids"],
-                )
+        for batch in by_bytes(batches, "text", AT_ONCE):
+            ids = tokens.encode(batch.column("text"), end)
+            sizes, before = np.diff(row_bytes(ids)[1]) // 4, []
+            for source, n in zip(batch.column("source").to_pylist(), sizes.tolist(), strict=True):
+                before.append(sent.get(source, 0))
+                sent[source] = before[-1] + n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("source"),
+                    pa.array(np.full(len(ids), part, dtype=np.int32)),
+                    pa.array(before, pa.int64()),
+                    pa.array(sizes),
+                    ids,
+                ],
+                names=["doc_id", "source", "part", "in_part", "n_tokens", "ids"],
+            )
 
     narrow = df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.col(f"`{source_col}`").cast("string").alias("source")
@@ -101,6 +99,17 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
     return written(narrow.mapInArrow(encode, _TOKENS), "tokens")
 
 
+def weights(own: list[tuple[str | None, int]], rest: int, shares: dict[str | None, float]) -> list[float]:
+    """Shares of the sources with queues of their own, and of all others together where there are any.
+
+    Targets are shares of a window; sources without one divide what the targets leave in proportion to their tokens.
+    """
+    free = sum(n for s, n in own if s not in shares) + rest
+    given = sum(shares[s] for s, _ in own if s in shares)
+    left = max(0.0, 1.0 - given) / free if free else 0.0
+    return [float(shares[s]) if s in shares else left * n for s, n in own] + ([left * rest] if rest else [])
+
+
 def pack(
     df: DataFrame,
     vocabulary: str,
@@ -115,25 +124,30 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents with their places: sequence and offset, and the ids of each piece (u32, little-endian).
 
-    ``shares`` gives target proportions of sources with queues of their own; without it, proportions are the data's.
+    ``shares`` gives target proportions of a window to some sources, which then have queues of their own; the others
+    divide what is left in the data's proportions, and follow at the smallest step where nothing is left.
     """
     tokens = tokenized(df, vocabulary, end_id, id_col, text_col, source_col)
     by_part = tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
     parts = written(by_part, "source-parts")
-    largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(queues - 1)
-    own = [(r.source, int(r.n)) for r in largest.collect()]  # fewer rows than there are queues
+    shares = shares or {}
+    if len(shares) >= queues:
+        raise ValueError("there are more targets than queues of their own")
+    targeted = F.lit(False)
+    for source in shares:
+        targeted = targeted | F.col("source").eqNullSafe(F.lit(source))
+    by_source = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    own = [(r.source, int(r.n)) for r in by_source.orderBy(targeted.desc(), F.desc("n"), F.asc_nulls_first("source")).limit(queues - 1).collect()]  # fewer rows than queues
     total = int(parts.agg(F.sum("n")).first()[0] or 0)
     rest = total - sum(n for _, n in own)
     sizes = [n for _, n in own] + ([rest] if rest else [])
-    weights = [float((shares or {}).get(s, n)) for s, n in own] + ([float(rest)] if rest else [])
-    plan = Schedule.of(sizes, weights or [1.0], window, portion)
-    number = F.lit(len(own))
-    for i, (source, _) in enumerate(own):
-        number = F.when(F.col("source").eqNullSafe(F.lit(source)), i).otherwise(number)
+    plan = Schedule.of(sizes, weights(own, rest, shares) or [1.0], window, portion)
+    numbers = df.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(own)], "own_source string, own_queue int")
+    numbered = parts.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("own_source")), "left").withColumn("queue", F.coalesce("own_queue", F.lit(len(own))))
     # Tokens of a queue before each partition's share of it: a row for each source and partition.
     ordered = Window.partitionBy("queue").orderBy("part", F.asc_nulls_first("source"))
     before = written(
-        parts.withColumn("queue", number).select(
+        numbered.select(
             F.col("source").alias("of_source"), F.col("part").alias("of_part"), "queue", (F.sum("n").over(ordered) - F.col("n")).alias("before")
         ),
         "queue-parts",

@@ -88,3 +88,26 @@ def test_edge_rows(spark):
         got = got.selectExpr("doc_id", "start", "length", "crc32(ids) ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
         checked(got, [(r[0], r[1]) for r in rows], Tokenizer.from_file(PATH))
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_targets_for_some_sources(spark):
+    assert packing.weights([("a", 700_000), ("b", 300_000), ("c", 500_000)], 0, {"a": 0.7, "b": 0.3}) == [0.7, 0.3, 0.0]
+    assert packing.weights([("a", 10), ("c", 30)], 10, {"a": 0.5}) == [0.5, 0.375, 0.125]
+    assert packing.weights([("a", 10), (None, 30)], 0, {}) == [0.25, 0.75]
+    random_ = random.Random(1)
+    sources = ["small", None, *(f"s{i}" for i in range(8))]
+    rows = [(i, "word " * random_.randint(5, 60), sources[i % 10] if i % 3 else "big") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(df, PATH, window=512, portion=16, queues=4, shares={"small": 0.25, None: 0.125})
+    got = got.selectExpr("doc_id", "start", "length", "crc32(ids) ids_crc32", "doc_tokens", "sequence_id", "offset", "queue").collect()
+    checked(got, [(r[0], r[1]) for r in rows], Tokenizer.from_file(PATH), 512)
+    of = {r[0]: r[2] for r in rows}
+    total = sum(r.length for r in got if of[r.doc_id] == "small")
+    sent, at = 0, 0
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        at += r.length
+        sent += r.length * (of[r.doc_id] == "small")
+        if sent == total:
+            break
+        assert abs(sent - 0.25 * at) <= 512 * 0.25 + 2 * 16  # a round sends a queue's part of a window at once
+    assert {r.queue for r in got if of[r.doc_id] == "small"}.isdisjoint({r.queue for r in got if of[r.doc_id] != "small"})
