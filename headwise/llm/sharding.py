@@ -39,12 +39,48 @@ def bin_sizes(total: int, shards: int, rows_per_bin: int) -> list[tuple[int, int
     return out
 
 
+#: The random generator draws from populations below this size.
+LIBRARY = 10**9
+
+
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many good ones are among n of a population of any size, exactly.
+
+    A large population takes each member with the chance n / (good + bad), which gives a uniform subset of its own size,
+    and then a uniform subset of what is too much or too little, about the root of n, is taken out or added likewise.
+    """
+    if good + bad < LIBRARY:
+        return int(draw.hypergeometric(good, bad, n))
+    if n <= 32:
+        found = 0
+        for i in range(n):
+            found += int(draw.integers(good + bad - i)) < good - found
+        return found
+    chance = n / (good + bad)
+    x, y = int(draw.binomial(good, chance)), int(draw.binomial(bad, chance))
+    if x + y > n:
+        return x - hypergeometric(draw, x, y, x + y - n)
+    return x + hypergeometric(draw, good - x, bad - y, n - x - y)
+
+
+def multivariate(draw: np.random.Generator, colors: np.ndarray, n: int) -> np.ndarray:
+    """How many of each color are among n: halves of the colors share out n until a library draw can take over."""
+    if int(colors.sum()) < LIBRARY:
+        return draw.multivariate_hypergeometric(colors, n, method="marginals")
+    if len(colors) == 1:
+        return np.array([n], dtype=np.int64)
+    half = len(colors) // 2
+    left, right = int(colors[:half].sum()), int(colors[half:].sum())
+    of_left = hypergeometric(draw, left, right, n)
+    return np.concatenate([multivariate(draw, colors[:half], of_left), multivariate(draw, colors[half:], n - of_left)])
+
+
 def communication_matrix(sources: list[int], bins: list[int], seed: int) -> np.ndarray:
     """How many rows each source sends to each bin: row sums are the sources, column sums the bins."""
     draw, left = np.random.default_rng(seed), np.array(bins, dtype=np.int64)
     matrix = np.zeros((len(sources), len(bins)), dtype=np.int64)
     for i, rows in enumerate(sources):
-        matrix[i] = draw.multivariate_hypergeometric(left, rows, method="marginals")
+        matrix[i] = multivariate(draw, left, rows)
         left -= matrix[i]
     return matrix
 

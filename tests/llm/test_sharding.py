@@ -26,6 +26,21 @@ def test_matrix_sums_and_law():
     assert np.allclose(mean, [1.5, 4.5], atol=0.15)
 
 
+def test_counts_above_the_library_follow_the_same_law(monkeypatch):
+    m = sharding.communication_matrix([3 * 10**9, 5 * 10**9, 7], [2 * 10**9 + 7, 6 * 10**9], 1)
+    assert m.sum(1).tolist() == [3 * 10**9, 5 * 10**9, 7] and m.sum(0).tolist() == [2 * 10**9 + 7, 6 * 10**9] and (m >= 0).all()
+    spread = (3e9 * 5e9 / 8e9 * 0.25 * 0.75) ** 0.5
+    assert abs(int(m[0, 0]) - 3e9 * 0.25) < 6 * spread
+    draw = np.random.default_rng(2)
+    want = [int(draw.hypergeometric(700, 500, 400)) for _ in range(20_000)]
+    monkeypatch.setattr(sharding, "LIBRARY", 50)
+    got = [sharding.hypergeometric(draw, 700, 500, 400) for _ in range(20_000)]
+    assert abs(np.mean(got) - np.mean(want)) < 0.4 and abs(np.std(got) - np.std(want)) < 0.3
+    colors = np.array([60, 0, 30, 10])
+    many = np.array([sharding.multivariate(draw, colors, 20) for _ in range(5_000)])
+    assert (many.sum(1) == 20).all() and (many <= colors).all() and np.allclose(many.mean(0), colors / 5, atol=0.15)
+
+
 def test_small_bins_nulls_and_repeats(spark):
     rows = [(i % 7 if i % 5 else None, "same" if i % 3 else None, i) for i in range(203)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(9)
