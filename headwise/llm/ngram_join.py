@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import fresh, groups, sole_memory, text_of, written
+from headwise.llm.common import by_bytes, fresh, give_back, groups, sole_memory, text_of, written
 from headwise.llm.components import components
 
 WORDS = 5
 #: Similarity at which texts are linked, as a fraction.
 THRESHOLD = (4, 5)
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+AT_ONCE = 1 << 22
 
 
 def bands_and_rows(threshold: float = 0.8, recall: float = 0.995, hashes: int = 256) -> tuple[int, int]:
@@ -185,13 +186,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shingler()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
-                signed = [buckets(one.shingles(t)) for t in some.column(1).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in signed]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), lists], names=["doc_id", "k", "bands"])
+        for some in by_bytes(batches, "text", AT_ONCE):
+            signed = [buckets(one.shingles(t)) for t in some.column("text").to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in signed]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed)))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("k"), lists], names=["doc_id", "k", "bands"])
 
     signed = written(rows.select("doc_id", "text", "k").mapInArrow(sign, _SIGNED), "signatures")
     texts = written(signed.groupBy("k").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")), "texts")
@@ -221,21 +220,25 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shingler()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                out: list[list] = [[] for _ in range(7)]
-                for r in batch.slice(i, 256).to_pylist():
-                    shingles = one.shingles(r["text"])
-                    keys = buckets(shingles)
-                    place = {g: b for b, g in enumerate(keys.tolist())}
-                    for t in r["tiles"]:
-                        band = -1 if t["band"] < 0 else place[t["group"]]
-                        row = (t["tile"], band, t["block"], r["k"], r["copies"], keys.tobytes(), shingles.tobytes())
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                names = ["tile", "band", "block", "k", "copies", "bands", "shingles"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["tile", "band", "block", "k", "copies", "bands", "shingles"]
+        out: list[list] = [[] for _ in names]
+        size = 0
+        for some in by_bytes(batches, "text", AT_ONCE):
+            for r in some.to_pylist():
+                shingles = one.shingles(r["text"])
+                keys = buckets(shingles)
+                place = {g: b for b, g in enumerate(keys.tolist())}
+                for t in r["tiles"]:
+                    band = -1 if t["band"] < 0 else place[t["group"]]
+                    row = (t["tile"], band, t["block"], r["k"], r["copies"], keys.tobytes(), shingles.tobytes())
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                    size += shingles.nbytes + keys.nbytes
+                    if size > 2 * AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                        out, size = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "tile"):
@@ -261,6 +264,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                     ],
                     names=["k", "group", "links"],
                 )
+        give_back()
 
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

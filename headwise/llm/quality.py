@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, fresh, text_of, written
+from headwise.llm.common import fresh, give_back, sole_memory, text_of, text_runs, written
 from headwise.llm.toxicity import held_out
 
 #: Documents are kept at or above this posterior.
@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     @F.arrow_udf("binary")
     def vectors(rows: pa.Array) -> pa.Array:
-        return pa.array([features(t.as_py()).tobytes() for t in rows], pa.binary())
+        out = [features(t.as_py()).tobytes() for t in rows]
+        give_back()
+        return pa.array(out, pa.binary())
 
     rows = texts.join(F.broadcast(chosen), "labelled_id")  # bounded by sample_docs
     found = rows.select("labelled_id", "label_is", vectors("text_is").alias("x")).dropDuplicates(["labelled_id"]).collect()
@@ -147,7 +149,9 @@ def posterior(
 
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
-        out = [model.evidence(run) for run in at_most(texts.to_pylist(), len, AT_ONCE)]
+        sole_memory("quality", lambda: None)
+        out = [model.evidence(texts.slice(a, n).to_pylist()) for a, n in text_runs(texts, AT_ONCE)]
+        give_back()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     host, path = F.col(f"`{host_col}`"), F.col(f"`{path_col}`")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, sole_memory, text_of
+from headwise.llm.common import at_most, give_back, sole_memory, text_of, text_runs
 
 #: Words of a block, blocks of a window, and blocks from one window to the next.
 BLOCK, BLOCKS, STEP = 8, 4, 3
@@ -38,7 +38,7 @@ INPUTS = 3
 #: Entries kept of each evidence table, the strongest first.
 TABLE = 20_000
 #: Distinct words that a worker remembers; it does not change a result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 AT_ONCE = 1 << 20
 #: Texts of at least this score are rejected.
 REJECT = 0.3
@@ -172,25 +172,26 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[str, int] = {}
-        self.rows: list[tuple[float, float, float]] = []
-
-    def _learn(self, word: str) -> int:
-        get = self.model.letters.get
-        found = [get(g, 0.0) for g in grams(word)]
-        self.rows.append((self.model.words.get(word, 0.0), max(found), sum(found) / len(found)))
-        self.place[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self.table = np.zeros((1 << 12, INPUTS), dtype=np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        get, known = self.model.letters.get, self.model.words.get
+        first, end = len(self.place), len(self.place) + len(words)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table[:first], np.zeros((max(end, 2 * first) - first, INPUTS), np.float32)])
+        for i, word in enumerate(words, first):
+            found = [get(g, 0.0) for g in grams(word)]
+            self.table[i] = known(word, 0.0), max(found), sum(found) / len(found)
+            self.place[word] = i
 
     def inputs(self, texts: list[str]) -> list[np.ndarray]:
         """(word, input) of each text."""
-        if len(self.rows) > REMEMBERED:
-            self.place, self.rows = {}, []
+        if len(self.place) > REMEMBERED:
+            self.place = {}
         cut = [text.lower().split() for text in texts]
-        for word in {w for words in cut for w in words}.difference(self.place):
-            self._learn(word)
-        table = np.array(self.rows or [(0.0, 0.0, 0.0)], dtype=np.float32)
+        self._learn(list({w for words in cut for w in words}.difference(self.place)))
         at = self.place.__getitem__
-        return [table[list(map(at, words))] if words else table[:0] for words in cut]
+        return [self.table[list(map(at, words))] if words else self.table[:0] for words in cut]
 
     def windows(self, inputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All windows of the texts, short ones filled with neutral words, and where each text's windows begin."""
@@ -316,8 +317,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         one = _scorer(key, lambda: holder.value)
-        rows = texts.to_pylist()
-        out = [one.score(run) for run in at_most(rows, len, AT_ONCE)]
+        out = [one.score(texts.slice(a, n).to_pylist()) for a, n in text_runs(texts, AT_ONCE)]
+        give_back()
         return pa.array(np.concatenate(out).astype(np.float64) if out else [], pa.float64())
 
     return df.withColumn(score_col, scored(text_of(text_col)))

@@ -26,7 +26,7 @@ def fixture(spark, tmp_path):
         labels.append((i, int(i not in bad), int(i in toxic)))
     copies = [i for i in range(500) if i not in toxic and i not in bad][:20]
     near = [(600 + i, rows[i][1] + " tail", "en", "s1", 0, 0.0) for i in copies]
-    more = [(700, "write to a.b@mail.org or +1 (988) 555-2485 now", None, None, 0, 0.0), (701, None, "en", "s1", 0, 0.0), (702, "", "en", "s1", 0, 0.0)]
+    more = [(700, "write to a.b@mail.org or +1 (988) 555-2485 now", None, None, 0, 0.0), (701, None, "en", "s1", 0, 0.0), (702, "", "en", "s1", 0, 0.0), (703, " ".join(words * 200), "en", "s2", 0, 0.0)]
     rows = [*rows, *near, *more, more[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
     docs = docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
         docs = written(stage(spark, docs, folder), f"test-{name}")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
         kept[name] = {r.doc_id for r in docs.collect()}
-    everything = {*range(500), *(600 + i for i in copies), 700, 701, 702}
+    everything = {*range(500), *(600 + i for i in copies), 700, 701, 702, 703}
     assert everything - kept["toxicity"] == toxic
     assert kept["toxicity"] - kept["quality"] == bad
     assert {600 + i for i in copies} <= kept["quality"] - kept["near_copies"]
@@ -60,17 +60,18 @@ def test_stages(spark, tmp_path):
 
 
 def test_labels_of_one_class_or_none_drop_nothing(spark, tmp_path):
-    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some plain words").alias("text"))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some plain words").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
     cases = {
-        "empty": "id < 0", "toxic": "id >= 0", "others": "id >= 0", "unlabelled": "id >= 0",
+        "empty": "id < 0", "all_ones": "id >= 0", "all_zeros": "id >= 0", "others": "id >= 0", "unlabelled": "id >= 0",
         "held_out": "crc32(cast(cast(id as string) as binary)) % 4 = 2",
     }
     for name, kept in cases.items():
         key = F.col("id") + (1000 if name == "others" else 0)
-        value = F.lit(None) if name == "unlabelled" else F.when(F.lit(name == "toxic"), 1).otherwise(F.col("id") % 2)
-        labels = spark.range(40).where(kept).select(key.alias("doc_id"), F.lit(1).alias("quality"), value.cast("int").alias("toxic"))
+        value = {"unlabelled": F.lit(None), "all_ones": F.lit(1), "all_zeros": F.lit(0)}.get(name, F.col("id") % 2).cast("int")
+        labels = spark.range(40).where(kept).select(key.alias("doc_id"), value.alias("quality"), value.alias("toxic"))
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == 40, name
+        assert corpus_pipeline.keep_good(spark, docs, f"{tmp_path}/{name}").count() == 40, name
 
 
 def test_empty_tables(spark, tmp_path):
