@@ -29,7 +29,7 @@ def test_matches_sql(spark, small, con, name):
 def test_contract():
     queries, sql = entry_points.queries(), entry_points.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 230
-    assert all(name[0].isalpha() and name[1:3].isdigit() for name in queries)
+    assert all(name[0].isupper() and name[1:3].isdigit() for name in load())
 
 
 def test_entry(spark):
