@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -55,33 +54,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-class Recent:
-    """A memory of values by string, bounded in bytes: where the newer half is full, the older one is forgotten."""
-
-    def __init__(self, bound: int):
-        self.bound, self.size = bound, 0
-        self.new: dict[str, Any] = {}
-        self.old: dict[str, Any] = {}
-
-    def found(self, keys: list[str]) -> list:
-        """The value of each key, None where it is not remembered."""
-        out = list(map(self.new.get, keys))
-        if self.old:
-            old = self.old.get
-            for i, value in enumerate(out):
-                if value is None:
-                    out[i] = old(keys[i])
-        return out
-
-    def put(self, values: dict[str, Any]) -> None:
-        """Remember values of any size that ``len`` tells."""
-        size = 200 * len(values) + sum(map(len, values)) + sum(map(len, values.values()))
-        if self.size + size > self.bound // 2:
-            self.old, self.new, self.size = self.new, {}, 0
-        self.new.update(values)
-        self.size += size
-
-
 _SOLE: dict[str, Callable[[], None]] = {}
 
 

@@ -46,7 +46,7 @@ def test_library_ids_by_pieces(monkeypatch):
     letters = [*"ab  \n\t'sé1.,　\x1c😀", "<|endoftext|>", "x" * 60]
     texts = ["".join(random_.choice(letters) for _ in range(random_.randint(0, 14))) for _ in range(2000)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    for bound in (pieces.REMEMBERED, 1000):
+    for bound in (pieces.REMEMBERED, 300, 20):
         monkeypatch.setattr(pieces, "REMEMBERED", bound)
         one = tokens.LibraryTokens(PATH)
         for end in (b"", b"\x07\0\0\0"):
