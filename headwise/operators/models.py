@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -12,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -212,8 +213,8 @@ class Classifier:
     kind: str
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        """Adds ``probs``: one probability per label, summing to 1."""
-        base = VectorAssembler(inputCols=list(self.features), outputCol="features").transform(df)
+        """Adds ``probs``: one probability per label, summing to 1. A frame without ``features`` gets that vector first."""
+        base = df if "features" in df.columns else assembled(df, self.features)
         k = len(self.labels)
         if self.kind == "single":
             out = self.parts[0].transform(base)
@@ -259,10 +260,15 @@ def with_label(df: DataFrame, labels: Sequence[str], multipliers: Sequence[float
     return df.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in labels]), best))
 
 
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+
+
 def fit_classifier(train: DataFrame, features: Sequence[str], labels: Sequence[str], candidate: Candidate) -> Classifier:
+    """Fit one candidate. A frame that holds ``features`` already, as a shared matrix does, is used as it is."""
     check_features(features)
     df = _weighted(_coded(train, labels), labels, candidate.weight)
-    df = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+    df = df if "features" in df.columns else assembled(df, features)
     p, k = dict(candidate.params), len(labels)
     if candidate.family == "logistic":
         est = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", standardization=True, **p)
@@ -308,23 +314,27 @@ SWEEP_SCHEMA = "candidate string, macro_f1 double, mean_macro_f1 double, accurac
 
 def sweep(
     folds: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str], labels: Sequence[str],
-    candidates: Sequence[Candidate] = CLASSIFIERS, top: int = 3,
+    candidates: Sequence[Candidate] = CLASSIFIERS, top: int = 3, at_once: int = 4,
 ) -> list[tuple[Candidate, float, float, float, int]]:
     """Score every candidate on the newest fold, refit the best few on the older folds too, and rank.
 
-    Order: macro F1 on the newest fold, mean macro F1 over folds, accuracy.
+    Order: macro F1 on the newest fold, mean macro F1 over folds, accuracy. Fits run ``at_once`` at a time: each is a
+    chain of short jobs that would leave most of a cluster idle by itself.
     """
-    def run(c: Candidate, fold) -> dict:
-        return classification_scores(fit_classifier(fold[0], features, labels, c).predict(fold[1]))
-
-    rows = []
-    for c in candidates:
-        s = run(c, folds[0])
-        rows.append((c, s["macro_f1"], s["macro_f1"], s["accuracy"], 0))
-    rows.sort(key=lambda r: (-r[1], -r[3]))
+    def run(task: tuple[Candidate, tuple[DataFrame, DataFrame]]) -> dict:
+        c, (train, val) = task
+        return classification_scores(fit_classifier(train, features, labels, c).predict(val))
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        first = list(pool.map(run, [(c, folds[0]) for c in candidates]))
+        rows = [(c, s["macro_f1"], s["macro_f1"], s["accuracy"], 0) for c, s in zip(candidates, first, strict=True)]
+        rows.sort(key=lambda r: (-r[1], -r[3]))
+        again = [(r[0], fold) for r in rows[:top] for fold in folds[1:]]
+        more = [s["macro_f1"] for s in pool.map(run, again)]
+    n = len(folds) - 1
     for i, (c, f1, _, acc, _n) in enumerate(rows[:top]):
-        more = [run(c, f)["macro_f1"] for f in folds[1:]]
-        rows[i] = (c, f1, (f1 + sum(more)) / (1 + len(more)), acc, len(more))
+        older = more[i * n : (i + 1) * n]
+        rows[i] = (c, f1, (f1 + sum(older)) / (1 + n), acc, n)
     return sorted(rows, key=lambda r: (-r[1], -r[2], -r[3]))
 
 
@@ -392,31 +402,60 @@ def final_run(
     return pred, {"factors": factors, "validation_macro_f1": before, "validation_macro_f1_adjusted": after}
 
 
-def permuted(df: DataFrame, key: str, feature: str, seed: int, buckets: int) -> DataFrame:
-    """The frame with one column shuffled. Rows are spread over hashed buckets and paired inside each, in parallel."""
-    b = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
-    w = W.partitionBy("_b")
-    placed = df.withColumn("_b", b)
-    here = placed.withColumn("_rn", F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed + 1)), key)))
-    there = placed.select(
-        "_b", F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed + 2)), key)).alias("_rn"), F.col(feature).alias("_other")
-    )
-    return here.join(there, ["_b", "_rn"]).withColumn(feature, F.col("_other")).drop("_b", "_rn", "_other")
+def with_donors(df: DataFrame, key: str, repeats: int, buckets: int, value: str = "features") -> DataFrame:
+    """Each row once a repeat (``_r``) with the ``_donor`` that a permutation gives it: the ``value`` of another row.
+
+    Rows are numbered in hashed buckets by one hash, and again for each repeat by another; a row's donor is the one that
+    has its number in that repeat. The rows are joined once to as many copies of the values as there are repeats.
+    """
+    placed = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(buckets)).cast("int"))
+    here = placed.withColumn("_rn", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(SEED + 1)), key)))
+    turns = placed.select("_b", key, F.col(value).alias("_donor"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
+    there = turns.withColumn("_rn", F.row_number().over(W.partitionBy("_b", "_r").orderBy(F.xxhash64(key, F.lit(SEED + 2), F.col("_r")), key)))
+    return here.join(there.drop(key), ["_b", "_rn"]).drop("_b", "_rn")
 
 
 IMPORTANCE_SCHEMA = "feature string, importance double, std double"
 
 
+def _macro_f1(counts: Mapping[tuple[str, str], int]) -> float:
+    """Macro F1 over the classes that occur, from counts by (actual, predicted)."""
+    f1s = []
+    for label in {a for a, _ in counts}:
+        hit = counts.get((label, label), 0)
+        actual = sum(n for (a, _), n in counts.items() if a == label)
+        predicted = sum(n for (_, p), n in counts.items() if p == label)
+        f1s.append(2 * hit / (actual + predicted))
+    return sum(f1s) / len(f1s)
+
+
 def permutation_importance(
     model: Classifier, df: DataFrame, key: str, features: Sequence[str], repeats: int = 5, rows_per_bucket: int = 50_000
 ) -> list[tuple[str, float, float]]:
-    """Macro-F1 loss when one feature at a time is shuffled."""
-    n = df.count()
-    buckets = max(1, n // rows_per_bucket)
-    base = classification_scores(model.predict(df))["macro_f1"]
-    out = []
-    for f in features:
-        drops = [base - classification_scores(model.predict(permuted(df, key, f, SEED + 10 * r, buckets)))["macro_f1"] for r in range(repeats)]
+    """Macro-F1 loss when one feature at a time is shuffled: mean and spread over the repeats.
+
+    All permuted columns are one frame: a row and its donor become one row for each feature, whose vector has the donor's
+    value in that place. Those rows are scored and counted where they arise, so that what is shuffled is one count for each
+    (feature, repeat, actual, predicted) of a task, and only those counts reach the driver.
+    """
+    at = [model.features.index(f) for f in features]
+    frame = assembled(df, model.features) if "features" not in df.columns else df
+    rows = frame.select(key, "target", vector_to_array("features").alias("_own"))
+    buckets = max(1, rows.count() // rows_per_bucket)
+    paired = with_donors(rows, key, repeats, buckets, "_own").select("target", "_own", "_donor", "_r")
+    whole = rows.select("target", "_own", F.lit(None).cast("array<double>").alias("_donor"), F.lit(-1).alias("_r"))
+    place = F.when(F.col("_r") < 0, F.array(F.lit(-1))).otherwise(F.array(*[F.lit(i) for i in at]))
+    each = paired.unionByName(whole).withColumn("_f", F.explode(place))
+    swapped = F.transform("_own", lambda x, i: F.when(i == F.col("_f"), F.get(F.col("_donor"), i)).otherwise(x))
+    scored = model.predict(each.select("target", "_r", "_f", array_to_vector(swapped).alias("features")))
+    counts: dict[tuple[int, int], dict[tuple[str, str], int]] = {}
+    for r in scored.groupBy("_f", "_r", "target", "predicted").agg(F.count(F.lit(1)).alias("n")).collect():  # features x repeats x classes^2
+        counts.setdefault((r["_f"], r["_r"]), {})[r["target"], r["predicted"]] = r["n"]
+    if not counts:
+        return []
+    base, out = _macro_f1(counts[-1, -1]), []
+    for f, i in zip(features, at, strict=True):
+        drops = [base - _macro_f1(counts[i, r]) for r in range(repeats)]
         mean = sum(drops) / repeats
         out.append((f, mean, (sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5))
     return sorted(out, key=lambda r: -r[1])

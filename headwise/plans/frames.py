@@ -10,12 +10,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwise import settings as S
 from headwise.functions.scans import micros_chunk
 from headwise.operators import aggregates as A
 from headwise.operators.alerts import build_alerts
 from headwise.operators import features as Fe
 from headwise.operators import joins as J
 from headwise.session import materialise
+from headwise.plans.stored import stored
 from headwise.sources import star
 
 NOW = "2024-02-01T00:00:00"
@@ -78,7 +80,8 @@ class Layer(dict):
     """The analytics tables of a data folder, each built and written once on first use.
 
     Decision operators read several of these tables several times; reading the written tables keeps every consumer a
-    scan of a small aggregate instead of a repeat of the fact-table work.
+    scan of a small aggregate instead of a repeat of the fact-table work. Tables are kept by their inputs (``stored``), so
+    a later layer over the same files reads what an earlier one wrote.
     """
 
     def __init__(self, spark: SparkSession, root: str, *names: str):
@@ -100,15 +103,15 @@ class Layer(dict):
                 return self.get(name)
             if name == "stop_facts":
                 df = star.stop_facts(spark, root)
-            elif name == "trips":
-                df = materialise(star.trips(spark, root), name)
             else:
-                df = materialise(self._build(name), name)
+                df = stored(spark, root, name, lambda: self._build(name), (S.DEFAULTS, NOW))
             self[name] = df
             return df
 
     def _build(self, name: str) -> DataFrame:
         spark, root = self._spark, self._root
+        if name == "trips":
+            return star.trips(spark, root)
         if name == "route_metrics":
             return A.route_metrics(self["trips"], star.raw_rides(spark, root), route_dim(spark, root), keep=materialise)
         if name == "overcrowding_events":

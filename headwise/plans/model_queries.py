@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from headwise import settings as S
@@ -13,6 +16,7 @@ from headwise.plans import frames
 from headwise.plans.catalog import query
 from headwise.plans.frames import Layer
 from headwise.plans.oracle import VIEWS
+from headwise.plans.stored import stored
 from headwise.session import materialise
 from headwise.sources import star
 
@@ -284,32 +288,49 @@ def _(spark, root):
     return parts[0].unionByName(parts[1])
 
 
+ROW_COLUMNS = ["trip_id", *KEYS, "is_peak", "us", DELAY]
+#: What shapes the class windows and the sweep over them, besides the input files.
+CLASS_SETTINGS = (S.DEFAULTS, tuple(CLASS_FEATURES), SEVERITY, HORIZON, VAL)
+
+
 def _class_frame(spark, root):
-    cols = ["trip_id", *KEYS, "is_peak", "us", DELAY, *CLASS_FEATURES]
-    return materialise(M.attach_target(frames.history(spark, root).select(*cols), SEVERITY), "class_frame")
+    def build():
+        return M.attach_target(frames.history(spark, root).select(*ROW_COLUMNS, *CLASS_FEATURES), SEVERITY)
+
+    return stored(spark, root, "class_frame", build, CLASS_SETTINGS)
 
 
-def _class_parts(frame):
-    parts = M.split_by_days(frame, HORIZON, VAL)
-    return Mo.with_imputation(parts[0], parts, CLASS_FEATURES)
+def _matrices(spark, root, name, windows):
+    """Windows with their features as one vector, filled by the medians of the first, written once for all fits."""
+
+    def build(i):
+        return lambda: Mo.assembled(Mo.with_imputation(windows[0], [windows[i]], CLASS_FEATURES)[0], CLASS_FEATURES).select(*ROW_COLUMNS, "target", "features")
+
+    return [stored(spark, root, f"{name}_{i}", build(i), CLASS_SETTINGS) for i in range(len(windows))]
 
 
 def _class_split(spark, root):
-    return _class_parts(_class_frame(spark, root))
+    return _matrices(spark, root, "class_windows", M.split_by_days(_class_frame(spark, root), HORIZON, VAL))
+
 
+def _ranked(spark, root):
+    """Every candidate ranked over three folds of the rows before the test window; kept for these inputs."""
 
-def _ranked(frame):
-    """Every candidate ranked over three folds of the rows before the test window."""
-    train, val, _ = M.split_by_days(frame, HORIZON, VAL)
-    folds = M.expanding_folds(train.unionByName(val), n_folds=3, val_days=VAL, ties=["trip_id"])
-    filled = [tuple(Mo.with_imputation(t, [t, v], CLASS_FEATURES)) for t, v in folds]
-    return Mo.sweep(filled, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS, top=3)
+    def build():
+        train, val, _ = M.split_by_days(_class_frame(spark, root), HORIZON, VAL)
+        folds = M.expanding_folds(train.unionByName(val), n_folds=3, val_days=VAL, ties=["trip_id"])
+        written = [tuple(_matrices(spark, root, f"class_fold_{i}", fold)) for i, fold in enumerate(folds)]
+        ranked = Mo.sweep(written, CLASS_FEATURES, SEVERITY.labels, Mo.CLASSIFIERS, top=3)
+        rows = [(i, c.name, f1, mean, accuracy, refits) for i, (c, f1, mean, accuracy, refits) in enumerate(ranked)]
+        return spark.createDataFrame(rows, f"place int, {Mo.SWEEP_SCHEMA}").coalesce(1)
+
+    return stored(spark, root, "class_sweep", build, (CLASS_SETTINGS, Mo.CLASSIFIERS))
 
 
 def _winner_split(spark, root):
     """The candidate that M23 ranks first, and the windows."""
-    frame = _class_frame(spark, root)
-    return _ranked(frame)[0][0], *_class_parts(frame)
+    best = _ranked(spark, root).where("place = 0").first().candidate
+    return next(c for c in Mo.CLASSIFIERS if c.name == best), *_class_split(spark, root)
 
 
 @query("M18_binary_auc")
@@ -325,12 +346,15 @@ def _(spark, root):
 @query("M21_multiclass_families")
 def _(spark, root):
     train, val, _ = _class_split(spark, root)
-    out = None
-    for c in Mo.CLASSIFIERS:
+
+    def matrix(c):
         pred = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, c).predict(val)
-        row = M.overall_metrics(M.confusion(pred, "target")).select(F.lit(c.name).alias("candidate"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+        return materialise(M.confusion(pred, "target"), "family_confusion")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        found = list(pool.map(matrix, Mo.CLASSIFIERS))
+    rows = [M.overall_metrics(m).select(F.lit(c.name).alias("candidate"), "*") for c, m in zip(Mo.CLASSIFIERS, found, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query("M22_ordinal_classifier")
@@ -342,8 +366,7 @@ def _(spark, root):
 
 @query("M23_candidate_sweep")
 def _(spark, root):
-    ranked = _ranked(_class_frame(spark, root))
-    return spark.createDataFrame([(c.name, a, b, acc, n) for c, a, b, acc, n in ranked], Mo.SWEEP_SCHEMA)
+    return _ranked(spark, root).drop("place")
 
 
 @query("M24_class_multipliers")
@@ -367,7 +390,7 @@ def _(spark, root):
 def _(spark, root):
     winner, train, val, _ = _winner_split(spark, root)
     model = Mo.fit_classifier(train, CLASS_FEATURES, SEVERITY.labels, winner)
-    rows = Mo.permutation_importance(model, materialise(val, "importance_rows"), "trip_id", CLASS_FEATURES, repeats=5)
+    rows = Mo.permutation_importance(model, val, "trip_id", CLASS_FEATURES, repeats=5)
     return spark.createDataFrame(rows, Mo.IMPORTANCE_SCHEMA)
 
 

@@ -94,10 +94,33 @@ def test_multipliers_and_importance(spark, labelled):
     assert rows[0][0] == "x" and rows[0][1] > rows[1][1]
 
 
-def test_permutation_keeps_the_values(labelled):
-    shuffled = Mo.permuted(labelled, "id", "x", 1, 4)
-    assert shuffled.count() == labelled.count()
-    assert sorted(r["x"] for r in shuffled.collect()) == sorted(r["x"] for r in labelled.collect())
+def test_donors_permute_all_rows_in_every_repeat(labelled):
+    rows = labelled.select("id", F.array("x", "z").alias("v"))
+    got = Mo.with_donors(rows, "id", 3, 4, "v").collect()
+    values = sorted(tuple(r.v) for r in rows.collect())
+    for turn in range(3):
+        of = [r for r in got if r["_r"] == turn]
+        assert sorted(tuple(r["_donor"]) for r in of) == values and sorted(r.id for r in of) == list(range(900))
+    assert any(a["_donor"] != b["_donor"] for a, b in zip(*(sorted((r for r in got if r["_r"] == t), key=lambda r: r.id) for t in (0, 1)), strict=True))
+
+
+def test_importance_equals_one_shuffled_column_at_a_time(spark, labelled):
+    labels, features = ("low", "mid", "high"), ["x", "z", "c"]
+    df = labelled.withColumn("c", F.lit(3.0))
+    model = Mo.fit_classifier(df, features, labels, Mo.Candidate("random_forest", {"numTrees": 5, "maxDepth": 3}))
+    got = {f: (mean, std) for f, mean, std in Mo.permutation_importance(model, df, "id", features, repeats=2, rows_per_bucket=300)}
+    base = Mo.classification_scores(model.predict(df))["macro_f1"]
+    donors = {(r.id, r["_r"]): r["_donor"] for r in Mo.with_donors(df.select("id", F.array(*features).alias("v")), "id", 2, 3, "v").collect()}
+    rows = df.select("id", "target", *features).collect()
+    for i, f in enumerate(features):
+        drops = []
+        for turn in range(2):
+            shuffled = spark.createDataFrame([(r.id, r.target, *[donors[r.id, turn][i] if g == f else r[g] for g in features]) for r in rows], f"id long, target string, {', '.join(f'{g} double' for g in features)}")
+            drops.append(base - Mo.classification_scores(model.predict(shuffled))["macro_f1"])
+        mean = sum(drops) / 2
+        assert got[f] == pytest.approx((mean, (sum((d - mean) ** 2 for d in drops) / 2) ** 0.5), abs=1e-9)
+    assert got["c"] == (0.0, 0.0) and got["x"][0] > 0.1
+    assert Mo.permutation_importance(model, df.limit(0), "id", features) == []
 
 
 def test_clusters(spark):
