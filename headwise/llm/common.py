@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,13 +34,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/llm-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Send batches of so many rows to Python for now: a batch of whole texts is held on both sides of the pipe."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and return its scan: the lineage ends there, and its size is known."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of few rows that stands in the plan itself, so that no worker is needed to make it."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null is the empty text."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import at_most, by_bytes, row_bytes, slices, text_of, written
+from headwise.llm.common import at_most, by_bytes, row_bytes, slices, small_table, text_of, written
 from headwise.llm.tokens import library_tokens
 
 AT_ONCE = 1 << 21
@@ -142,7 +142,7 @@ def pack(
     rest = total - sum(n for _, n in own)
     sizes = [n for _, n in own] + ([rest] if rest else [])
     plan = Schedule.of(sizes, weights(own, rest, shares) or [1.0], window, portion)
-    numbers = df.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(own)], "own_source string, own_queue int")
+    numbers = small_table(df.sparkSession, [{"own_source": s, "own_queue": i} for i, (s, _) in enumerate(own)], "own_source:string,own_queue:int")
     numbered = parts.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("own_source")), "left").withColumn("queue", F.coalesce("own_queue", F.lit(len(own))))
     # Tokens of a queue before each partition's share of it: a row for each source and partition.
     ordered = Window.partitionBy("queue").orderBy("part", F.asc_nulls_first("source"))

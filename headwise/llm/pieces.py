@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 
 from headwise.llm.common import row_bytes
 
-#: Pieces that a worker remembers (about 60 bytes each), and bytes of the longest among them; neither changes a result.
-REMEMBERED = 1 << 20
+#: Pieces that a worker remembers (about 40 bytes each), and bytes of the longest among them; neither changes a result.
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 15
 #: Marks that are words of their own after letters.
 MARKS = ".,!?;:"
@@ -62,13 +62,13 @@ class Known:
 
     def __init__(self, most: int):
         self.most = most
-        self.slots = 1 << max(6, (2 * most - 1).bit_length())
+        self.slots = 1 << max(6, (most + most // 4 - 1).bit_length())  # at least a fifth of them stay empty
         self.clear()
 
     def clear(self) -> None:
         self.low, self.high = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.uint64)
         self.entry = np.zeros(self.slots, dtype=np.int32)  # place of the ids plus 1
-        self.ends = np.zeros(self.most + 1, dtype=np.int64)
+        self.ends = np.zeros(self.most + 1, dtype=np.int32)
         self.ids = np.zeros(4 * self.most, dtype="<u4")
         self.size = 0
 
@@ -87,7 +87,7 @@ class Known:
 
     def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of these places begin, and how many they are."""
-        return self.ends[places], self.ends[places + 1] - self.ends[places]
+        return self.ends[places].astype(np.int64), (self.ends[places + 1] - self.ends[places]).astype(np.int64)
 
     def add(self, keys: Keys, ids: np.ndarray, ends: np.ndarray) -> None:
         """Remember ids (those of a piece from one of its ends to the next) of pieces that are not there yet."""
@@ -98,7 +98,7 @@ class Known:
             if len(new) > self.most or sizes.sum() > len(self.ids):
                 return
         steps = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        begin = self.ends[self.size]
+        begin = int(self.ends[self.size])
         self.ids[begin : begin + len(steps)] = ids[np.repeat(ends[:-1][new], sizes) + steps]
         self.ends[self.size + 1 : self.size + len(new) + 1] = begin + np.cumsum(sizes)
         number = np.arange(self.size + 1, self.size + len(new) + 1)
@@ -190,7 +190,7 @@ class Pieces:
         flat = cut.flatten()
         offsets = cut.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        rest_of = np.repeat(np.arange(n), np.diff(offsets) - 1)
+        rest_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) - 1)
         after_first = np.ones(len(flat), dtype=bool)
         after_first[offsets[:-1]] = False
         rest = flat.filter(pa.array(after_first)).dictionary_encode()
@@ -208,7 +208,7 @@ class Pieces:
         left = np.nonzero(~whole[rest_of])[0]
         counts = 1 + np.bincount(rest_of[left], minlength=n) + bool(end)
         starts = np.concatenate(([0], np.cumsum(counts)))
-        place = np.empty(starts[-1], dtype=np.int64)
+        place = np.empty(starts[-1], dtype=np.int32)
         place[starts[:-1]] = len(ids) + np.arange(n)
         place[starts[rest_of[left]] + 1 + left - (offsets[:-1] - np.arange(n))[rest_of[left]]] = index[left]
         if end:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import by_bytes, slices, text_of, written
+from headwise.llm.common import by_bytes, short_batches, slices, text_of, written
 from headwise.llm.tokens import library_tokens
 
 BLOCK = 128
@@ -160,7 +160,8 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(segments, _SEGMENTS).write.parquet(folder)
+    with short_batches(df.sparkSession):
+        ordered.mapInArrow(segments, _SEGMENTS).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
