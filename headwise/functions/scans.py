@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from headwise.functions.nullsafe import join_groups
 from headwise.functions.scalars import col
+from headwise.session import materialise
 
 CHUNK = "_chunk"
 
@@ -25,6 +26,18 @@ def micros_chunk(us: Column | str, minutes: int = 60) -> Column:
     return F.floor(col(us) / F.lit(minutes * 60_000_000)).cast("long")
 
 
+def equi_depth(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """The frame with a chunk column (``CHUNK``) of about equally many rows each, numbered along ``order``.
+
+    Rows are dealt into ranges of (keys, order, tie-break) by a sample, as a sort would deal them, so neither a busy hour nor
+    a key with most of the rows makes a large chunk; ``order`` should end with columns that break ties. The number of
+    ranges is the session's shuffle partitions unless given. The result is written, since where a range ends is known to
+    that one pass only; pass ``F.col(CHUNK)`` as the chunk of a scan over it.
+    """
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *order).withColumn(CHUNK, F.spark_partition_id()), "ranges")
+
+
 def previous_values(
     df: DataFrame,
     keys: Sequence[str],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -284,6 +284,18 @@ def od_matrix(rides: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rides.groupBy(*keys).agg(F.count(F.lit(1)).alias("passengers"))
 
 
+def od_levels(rides: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Origin-destination counts at several levels from one scan: ``level``, all key columns, passengers.
+
+    A column that a level leaves out is null there; ``grouping_id`` tells it from a null key.
+    """
+    names = list(dict.fromkeys(c for cols in levels.values() for c in cols))
+    out = rides.groupingSets([list(cols) for cols in levels.values()], *names).agg(F.count(F.lit(1)).alias("passengers"), F.grouping_id().alias("_id"))
+    ids = {name: sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in cols) for name, cols in levels.items()}
+    level = F.coalesce(*[F.when(F.col("_id") == i, name) for name, i in ids.items()])
+    return out.select(level.alias("level"), *names, "passengers")
+
+
 def top_pairs(od: DataFrame, keys: Sequence[str], n: int = 30) -> DataFrame:
     return od.orderBy(F.col("passengers").desc(), *keys).limit(n)
 

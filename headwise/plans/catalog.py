@@ -52,6 +52,7 @@ def load() -> dict[str, Query]:
         decision_queries,
         feature_queries,
         join_queries,
+        layered_queries,
         model_queries,
         quality_queries,
         rollup_queries,
