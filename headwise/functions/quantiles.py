@@ -100,6 +100,16 @@ def exact_quantiles(
     return join_groups(base.select(*keys, *extra), result, keys, "left") if extra else result
 
 
+def exact_column_quantiles(df: DataFrame, columns: Sequence[str], p: float, keys: Sequence[str] = ()) -> DataFrame:
+    """The same percentile of several columns: keys, ``column`` and ``q``, a row for each column that is not all null.
+
+    The column is part of the group key, so all columns share the passes that one of them would take.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("v")) for c in columns])
+    melted = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, F.col("_cell.column").alias("column"), F.col("_cell.v").alias("v"))
+    return exact_quantiles(melted.where("v IS NOT NULL AND NOT isnan(v)"), [*keys, "column"], "v", {"q": p})
+
+
 def exact_quantile_scalar(df: DataFrame, value: Column | str, p: float) -> Column:
     """A whole-frame percentile as a scalar subquery, usable inside any expression."""
     return exact_quantiles(df, [], value, {"q": p}).scalar()

@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headwise.functions import scalars as X
-from headwise.functions.quantiles import exact_quantiles
+from headwise.functions.quantiles import exact_column_quantiles, exact_quantiles
 from headwise.operators import metrics as M
 from headwise.operators.features import check_features
 
@@ -71,18 +71,13 @@ CLASSIFIERS = (
 
 
 def with_imputation(train: DataFrame, frames: Sequence[DataFrame], features: Sequence[str]) -> list[DataFrame]:
-    """Missing features -> medians of the training window, in every frame. All-null columns become 0."""
-    numeric = list(features)
-
-    def cast(df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.col(c).cast("double") for c in numeric})
-
-    filled = train.agg(*[F.count(c).alias(c) for c in numeric]).first()
-    usable = [c for c in numeric if filled[c]]
-    empty = [c for c in numeric if not filled[c]]
-    model = Imputer(inputCols=usable, outputCols=usable, strategy="median").fit(cast(train).select(*usable))
-    out = [model.transform(cast(f)) for f in frames]
-    return [f.fillna(0.0, subset=empty) if empty else f for f in out]
+    """Missing features -> exact medians of the training window, in every frame. All-null columns become 0."""
+    medians = {r["column"]: r["q"] for r in exact_column_quantiles(train, list(features), 0.5).collect()}  # one row a column
+
+    def filled(c: str) -> Column:
+        return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), X.dbl(medians.get(c, 0.0)))
+
+    return [f.withColumns({c: filled(c) for c in features}) for f in frames]
 
 
 def with_sentinel(df: DataFrame, features: Sequence[str], value: float = -1.0) -> DataFrame:

@@ -13,7 +13,8 @@ from headwise.operators import features as Fe
 from headwise.operators import metrics as M
 from headwise.operators import models as Mo
 from headwise.plans import frames
-from headwise.plans.catalog import query
+from headwise.plans import feature_queries  # noqa: F401  (M05's SQL reads that of F20)
+from headwise.plans.catalog import REGISTRY, query
 from headwise.plans.frames import Layer
 from headwise.plans.oracle import VIEWS
 from headwise.plans.stored import stored
@@ -97,7 +98,17 @@ def _(spark, root):
     return M.regression_metrics(_occupancy(spark, root).where("predicted IS NOT NULL"), "predicted", "actual")
 
 
-@query("M05_train_median_imputation")
+_FILLED = ", ".join(
+    f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM cells WHERE day <= last - {HORIZON + VAL})) AS {c}" for c in ("prev_week_occupancy_max", "rolling_7d_occupancy_max")
+)
+
+
+@query(
+    "M05_train_median_imputation",
+    f"""WITH found AS (SELECT *, CAST(date AS DATE) AS day FROM ({REGISTRY['F20_occupancy_features'].sql})),
+    cells AS (SELECT *, max(day) OVER () AS last FROM found)
+    SELECT route_id, CAST(day AS VARCHAR) AS date, time_band, {_FILLED} FROM cells WHERE day > last - {HORIZON}""",
+)
 def _(spark, root):
     d = Fe.occupancy_features(star.trips_core(spark, root))
     train, _, test = M.split_by_days(d, HORIZON, VAL)
@@ -150,15 +161,33 @@ def _(spark, root):
 
 @query(
     "M10_pipeline_parity",
-    """SELECT count(*) AS entities, 0e0 AS max_on_time_rate_delta, 0e0 AS mean_on_time_rate_delta, 0e0 AS max_avg_delay_min_delta, 0e0 AS mean_avg_delay_min_delta FROM reliability_profile""",
+    f"""SELECT count(*) AS entities, round(max(abs(a - b)), 6) AS max_on_time_rate_delta, round(avg(abs(a - b)), 6) AS mean_on_time_rate_delta,
+    round(max(abs(c - d)), 6) AS max_avg_delay_min_delta, round(avg(abs(c - d)), 6) AS mean_avg_delay_min_delta FROM (SELECT avg(CAST(on_time AS INT)) * 100 AS a,
+    100e0 * count(*) FILTER (WHERE on_time) / count(*) AS b, avg({DELAY}) AS c, sum({DELAY}) / count(*) AS d FROM trips_core GROUP BY route_id)""",
+)
+def _(spark, root):
+    return _parity(star.trips_core(spark, root))
+
+
+@query(
+    "M10_pipeline_parity_planted",
+    f"""SELECT count(*) AS entities, round(max(abs(a - b)), 6) AS max_on_time_rate_delta, round(avg(abs(a - b)), 6) AS mean_on_time_rate_delta,
+    round(max(abs(c - d)), 6) AS max_avg_delay_min_delta, round(avg(abs(c - d)), 6) AS mean_avg_delay_min_delta FROM (SELECT avg(CAST(on_time AS INT)) * 100 AS a,
+    avg(CAST(on_time AND route_id % 7 <> 0 AS INT)) * 100 AS b, avg({DELAY}) AS c, avg({DELAY} + route_id % 3) AS d FROM trips_core GROUP BY route_id)""",
 )
 def _(spark, root):
+    """The second computation reads rows in which some routes are never on time and some delays are longer."""
     core = star.trips_core(spark, root)
+    wrong = core.withColumns({"on_time": F.col("on_time") & (F.col("route_id") % 7 != 0), DELAY: F.col(DELAY) + F.col("route_id") % 3})
+    return _parity(core, wrong)
+
+
+def _parity(core, other=None):
     left = core.groupBy("route_id").agg(F.avg(DELAY).alias("avg_delay_min"), (X.share(F.col("on_time")) * 100).alias("on_time_rate"))
-    right = spark.sql(
+    right = core.sparkSession.sql(
         f"""SELECT route_id, AVG({DELAY}) AS avg_delay_min, 100.0D * SUM(CASE WHEN on_time THEN 1 ELSE 0 END) / COUNT(*) AS on_time_rate
         FROM {{trips}} GROUP BY route_id""",
-        trips=core,
+        trips=core if other is None else other,
     )
     out = M.parity(left, right, ["route_id"], ["on_time_rate", "avg_delay_min"])
     return out.select("entities", *[F.round(c, 6).alias(c) for c in out.columns if c != "entities"])
