@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import json
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -182,5 +184,21 @@ class Documents:
     lang: str = "lang"
 
 
+_SHIPPED: set[str] = set()
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once a session, where they cannot find it by the paths that the driver was given."""
+    app = spark.sparkContext.applicationId
+    known = {os.path.abspath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]}
+    if app in _SHIPPED or _ROOT in known:
+        return
+    whole = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="headwise-package-"), "headwise"), "zip", _ROOT, "headwise")
+    spark.sparkContext.addPyFile(whole)
+    _SHIPPED.add(app)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

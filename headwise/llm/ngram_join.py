@@ -11,7 +11,8 @@ more than ``block`` texts are checked band by band instead, in tiles of two bloc
 texts share. A tile counts links and keeps a forest of them, so that pairs are never rows: a group of n copies or near
 copies costs its comparisons, not n^2 output. Classes are the components of the links.
 
-Keys of texts are 64-bit hashes: among ten billion different texts about three pairs would share one and count as copies.
+Keys of texts are 64-bit hashes, told apart by a second one: texts that share the first hash only get a key made of both,
+so that copies agree in 128 bits.
 
 Edge cases: a null text is empty; empty texts are copies of each other and similar to nothing else; a class is named by
 its smallest id, null if it has none; repeated rows and ids are copies or near copies like others and count as links; an
@@ -20,13 +21,13 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwise.llm.common import by_bytes, fresh, give_back, groups, sole_memory, text_of, written
@@ -176,13 +177,42 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]], copies: list[int]) -> tupl
     return [find(i) for i in range(n)], links
 
 
-_SIGNED = "doc_id long, k long, bands array<long>"
+_SIGNED = "doc_id long, k long, h2 long, bands array<long>"
 _TILED = "tile long, band int, block int, k long, copies long, bands binary, shingles binary"
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, k) and texts (k, rep_id, copies, label, links): the class of a text is its label."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("k", F.xxhash64("text"))
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def second_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit(1), text)
+
+
+Rekey = Callable[[DataFrame, str, str], DataFrame]
+
+
+def told_apart(signed: DataFrame) -> Rekey:
+    """What gives texts of one key and different second hashes keys of their own; mostly there are none."""
+    ranges = signed.groupBy("k").agg(F.min("h2").alias("low"), F.max("h2").alias("high"))
+    shared = written(ranges.where("low != high").select(F.col("k").alias("_shared_key")), "shared-keys")
+    if not shared.limit(1).count():
+        return lambda df, k, h2: df
+
+    def rekey(df: DataFrame, k: str, h2: str) -> DataFrame:
+        own = F.when(F.col("_shared_key").isNull(), F.col(k)).otherwise(F.xxhash64(k, h2))
+        return df.join(shared, F.col(k) == F.col("_shared_key"), "left").withColumn(k, own).drop("_shared_key")
+
+    return rekey
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> tuple[DataFrame, DataFrame, Rekey]:
+    """Rows (doc_id, k), texts (k, rep_id, copies, label, links), and what turns a text's two hashes into its key.
+
+    The class of a text is its label.
+    """
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = rows.withColumns({"k": text_key(F.col("text")), "h2": second_hash(F.col("text"))})
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shingler()
@@ -190,9 +220,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             signed = [buckets(one.shingles(t)) for t in some.column("text").to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in signed]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed)))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("k"), lists], names=["doc_id", "k", "bands"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("k"), some.column("h2"), lists], names=["doc_id", "k", "h2", "bands"])
 
-    signed = written(rows.select("doc_id", "text", "k").mapInArrow(sign, _SIGNED), "signatures")
+    signed = written(rows.select("doc_id", "text", "k", "h2").mapInArrow(sign, _SIGNED), "signatures")
+    rekey = told_apart(signed)
+    signed, rows = rekey(signed, "k", "h2"), rekey(rows, "k", "h2").drop("h2")
     texts = written(signed.groupBy("k").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")), "texts")
     in_bands = signed.select("k", F.explode("bands").alias("group"))
     shared = in_bands.groupBy("group").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("group")
@@ -275,14 +307,13 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     classes = components(found.select("group", "k"))
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     named = texts.join(classes, "k", "left").join(links, "k", "left")
-    return signed.select("doc_id", "k"), written(
-        named.select("k", "rep_id", "copies", F.coalesce("label", "k").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "text-classes"
-    )
+    classes = named.select("k", "rep_id", "copies", F.coalesce("label", "k").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    return signed.select("doc_id", "k"), written(classes, "text-classes"), rekey
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """Class and number of linked rows of each row: doc_id, class_id, n_links."""
-    rows, texts = similar(df, id_col, text_col, block)
+    rows, texts, _ = similar(df, id_col, text_col, block)
     ids = texts.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     named = written(texts.join(ids, "label").select("k", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named-texts")
     return rows.join(named, "k").select("doc_id", "class_id", "n_links")
@@ -293,12 +324,12 @@ def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids that are null come last.
     """
-    _, texts = similar(df, id_col, text_col)
+    _, texts, rekey = similar(df, id_col, text_col)
     rank = F.struct(F.col("rep_id").isNull().alias("unnamed"), F.col("rep_id").alias("kept_id"), F.col("k").alias("kept_k"))
     first = texts.groupBy("label").agg(F.min(rank).alias("r")).select("r.kept_k", "r.kept_id")
-    k_, id_, key_, place_ = fresh(df, "kept_k", "kept_id", "text_key", "place")
+    k_, id_, key_, second_, place_ = fresh(df, "kept_k", "kept_id", "text_key", "second_hash", "place")
     kept = written(first.select(F.col("kept_k").alias(k_), F.col("kept_id").alias(id_)), "kept-texts")
-    rows = df.withColumn(key_, F.xxhash64(text_of(text_col)))
+    rows = rekey(df.withColumns({key_: text_key(text_of(text_col)), second_: second_hash(text_of(text_col))}), key_, second_)
     rows = rows.join(kept, (F.col(key_) == F.col(k_)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)))
     order = [F.col(f"`{c}`") for c, kind in df.dtypes if c != text_col and "map<" not in kind and kind != "variant"]
     ranked = rows.withColumn(place_, F.row_number().over(Window.partitionBy(key_).orderBy(*order)))

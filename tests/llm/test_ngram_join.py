@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from headwise.llm import ngram_join
 from headwise.llm.queries import QUERIES
@@ -72,6 +73,16 @@ def test_hot_group_by_tiles_equals_brute_force(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_hash_are_not_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "text_key", lambda text: F.xxhash64(text) % 5)
+    texts = near_copies(40, 4) + near_copies(30, 5) + ["alone with these few words", "", None] * 2
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.join(df).collect()), key=str) == expected(rows)
+    kept = {r.doc_id for r in ngram_join.one_of_each_class(df).collect()}
+    assert kept == {c for _, c, _ in expected(rows)}
+
+
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in QUERIES["op4_ngram_jaccard_join"](spark, small).collect()), key=str)
