@@ -1,5 +1,7 @@
 """The model queries try every candidate, fold, feature and repeat, and carry the winner on."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def test_sweep_tries_everything_and_the_winner_is_carried(spark, small, frame, m
         raise Stopped
 
     monkeypatch.setattr(model_queries, "_class_frame", lambda spark, root: frame)
-    monkeypatch.setattr(model_queries, "CLASS_SETTINGS", "test of the sweep")  # nothing that is kept here serves another test
+    monkeypatch.setattr(model_queries, "CLASS_SETTINGS", uuid.uuid4().hex)  # nothing that is kept here serves another test
     monkeypatch.setattr(Mo, "sweep", sweep)
     monkeypatch.setattr(Mo, "fit_classifier", fit)
     assert load()["M23_candidate_sweep"].build(spark, small).first().candidate == winner.name
@@ -56,7 +58,7 @@ def test_importance_of_every_feature(spark, small, frame, monkeypatch):
         return [(f, 0.0, 0.0) for f in features]
 
     monkeypatch.setattr(model_queries, "_class_frame", lambda spark, root: frame)
-    monkeypatch.setattr(model_queries, "CLASS_SETTINGS", "test of importance")
+    monkeypatch.setattr(model_queries, "CLASS_SETTINGS", uuid.uuid4().hex)
     monkeypatch.setattr(Mo, "CLASSIFIERS", (Mo.Candidate("logistic", {"maxIter": 2}),))
     monkeypatch.setattr(Mo, "sweep", lambda *a, **k: [(Mo.CLASSIFIERS[0], 0.5, 0.5, 0.5, 2)])
     monkeypatch.setattr(Mo, "permutation_importance", importance)

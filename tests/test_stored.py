@@ -16,7 +16,7 @@ def test_kept_until_an_input_or_a_setting_changes(spark, tmp_path):
         return spark.read.parquet(f"{root}/orders.parquet").selectExpr("id + 1 AS n")
 
     def rows(settings=None):
-        return sorted(r.n for r in stored(spark, root, "test", build, settings).collect())
+        return sorted(r.n for r in stored(spark, root, "test", build, settings).collect())  # root is new for each run
 
     assert rows() == rows() == [1, 2, 3, 4, 5] and len(built) == 1
     rows(settings=("other", 1))
