@@ -2,8 +2,9 @@
 
 The tree is fitted on a bounded sample that is fixed by a hash (``sample_rows``); every vector is indexed. A query walks
 the tree with a priority queue of nodes, the largest inner product with a node's centre first, and visits leaves until
-the calibrated number: the smallest for which queries of the sample find ``target`` of their neighbours in it. Vectors
-of a visited leaf are scored exactly, in double precision. A leaf of many vectors is dealt over keys of at most
+the calibrated number: the smallest for which queries of the sample that the tree was not fitted on find ``target`` of
+their neighbours in it. The number of leaves is the one that costs a query least (``choose``), so it follows the rows.
+Vectors of a visited leaf are scored exactly, in double precision. A leaf of many vectors is dealt over keys of at most
 ``rows_per_key``; a key's queries are streamed, so neither is bounded by a task's memory.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another
@@ -91,23 +92,47 @@ def fit(sample: np.ndarray, leaves: int, seed: int = 6) -> Tree:
     return Tree(np.concatenate(centres), children, [max(0, n - first_leaf) for n in range(at)], at - first_leaf)
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, target: float, queries: int = 300) -> int:
-    """Leaves to visit, widened until the sample's queries find this share of their exact neighbours."""
+def calibrate(tree: Tree, sample: np.ndarray, queries: np.ndarray, k: int, target: float) -> int:
+    """Leaves to visit, widened until these rows of the sample find this share of their exact neighbours in it.
+
+    ``queries`` holds row numbers; the tree should not have been fitted on them, else the share found comes out too high.
+    """
     n = len(sample)
-    if n <= 1:
+    if n <= 1 or not len(queries):
         return tree.leaves
-    chosen = np.linspace(0, n - 1, min(queries, n)).astype(int)
-    of, found = tree.assign(sample), []
-    for q in chosen:
+    of, found = tree.assign(sample), np.zeros(tree.leaves)
+    for q in queries:
         score = sample @ sample[q]
         score[q] = -np.inf
         best = np.argpartition(-score, min(k, n - 1) - 1)[: min(k, n - 1)]
-        rank = {leaf: i for i, leaf in enumerate(tree.ordered_leaves(sample[q], tree.leaves))}
-        found.append([rank[leaf] for leaf in of[best].tolist()])
-    visits = 1
-    while visits < tree.leaves and np.mean([np.mean(np.array(f) < visits) for f in found]) < target:
-        visits = min(tree.leaves, max(visits + 1, int(visits * 1.1)))
-    return visits
+        rank = np.empty(tree.leaves, dtype=np.int64)
+        rank[tree.ordered_leaves(sample[q], tree.leaves)] = np.arange(tree.leaves)
+        found += np.bincount(rank[of[best]], minlength=tree.leaves)
+    share = found.cumsum() / found.sum()
+    return min(tree.leaves, int(np.searchsorted(share, target)) + 1)
+
+
+def choose(sample: np.ndarray, rows: int, k: int, target: float, visit_cost: int, leaves: int | None = None, held_out: int = 300) -> tuple[Tree, int]:
+    """The tree and the leaves to visit that cost a query of this table least, as measured on held-out queries.
+
+    A query costs one for each row of the leaves it visits and ``visit_cost`` for each visit, which ships the query to a
+    leaf. Few leaves mean few visits of many rows, so larger tables get more leaves; a tree has at most one leaf for
+    eight sampled rows. ``leaves`` fixes their number.
+    """
+    held = np.arange(min(held_out, len(sample) // 4))
+    fitted = sample[len(held) :]
+    most = max(1, len(fitted) // 8)
+    wanted = [min(leaves, most)] if leaves else sorted({min(16 * 4**i, most) for i in range(12)})
+    best = None
+    for number in wanted:
+        tree = fit(fitted, number)
+        visits = calibrate(tree, sample, held, k, target)
+        cost = visits * (rows / tree.leaves + visit_cost)
+        if best is None or cost < best[0]:
+            best = (cost, tree, visits)
+        elif cost > 2 * best[0]:
+            break
+    return best[1], best[2]
 
 
 def _usable(vector: Column) -> Column:
@@ -127,9 +152,10 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 20_000,
-    leaves: int = 64,
+    leaves: int | None = None,
     rows_per_key: int = 4096,
     target: float = 0.96,
+    visit_cost: int = 200,
 ) -> DataFrame:
     """The k nearest found for each row that ``is_query`` selects: query_id, rank, vec_id, score.
 
@@ -147,8 +173,7 @@ def search(
     usable = usable.where(F.size("vector") == dimension)
     drawn = usable.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(sample_rows).select("vector").collect()
     sample = np.array([r.vector for r in drawn], dtype=np.float64)
-    tree = fit(sample, max(1, min(leaves, len(sample) // 8)))
-    visits = calibrate(tree, sample, k, target)
+    tree, visits = choose(sample, int(lengths["count"]), k, target, visit_cost, leaves)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
