@@ -1,4 +1,4 @@
-"""Data-quality checks. All row checks of a table are counted in one aggregation."""
+"""Data-quality checks. All checks of a table share one scan (``validate_tables``), its row checks one aggregation."""
 
 from __future__ import annotations
 
@@ -242,6 +242,75 @@ REFERENCES = {
 }
 
 
+NESTED = ("array", "map", "struct", "variant")
+
+
+@dataclass(frozen=True)
+class _Slot:
+    """What a fact stands for: a row of a table, a failed row check, a key, or a value to look up in a reference."""
+
+    kind: str
+    table: int
+    dataset: str
+    column: str = "-"
+    rule: str = "-"
+    severity: str = "-"
+
+
+def _key_text(df: DataFrame, keys: Sequence[str]) -> Column:
+    """One text for a key, different for different keys: each part carries its length, null has none."""
+    types = dict(df.dtypes)
+    parts = []
+    for k in keys:
+        c = F.col(k)
+        if types[k] in ("float", "double"):
+            c = c + F.lit(0.0).cast(types[k])  # the two zeros are one key
+        text = F.unix_micros(c).cast("string") if types[k] == "timestamp" else _text(c)
+        parts.append(F.when(text.isNotNull(), F.concat(F.length(text), F.lit(":"), text)).otherwise("n"))
+    return F.concat(*parts)
+
+
+def _table_facts(df: DataFrame, first: int, checks: Sequence[Check], key: Sequence[str], refs: Sequence[str]) -> DataFrame:
+    """(slot, v) facts of a table in one scan; a row yields one for itself, its failed checks, its key and each reference."""
+    values = [(F.lit(True), F.lit(None).cast("string")), *[(c.bad, c.shown) for c in checks]]
+    if key:
+        values.append((F.lit(True), _key_text(df, key)))
+    values += [(F.lit(True), _text(F.col(c))) for c in refs]
+    facts = [F.when(when, F.struct(F.lit(first + i).alias("slot"), v.alias("v"))) for i, (when, v) in enumerate(values)]
+    return df.select(F.explode(F.array(*facts)).alias("f")).select("f.slot", "f.v").where("slot IS NOT NULL")
+
+
+def _by_slot(slots: Sequence[_Slot], field: str) -> Column:
+    return F.element_at(F.array(*[F.lit(getattr(s, field)) for s in slots]), F.col("slot") + 1)
+
+
+def fused_issues(facts: DataFrame, slots: Sequence[_Slot], known: DataFrame | None) -> DataFrame:
+    """Issues of any number of tables from their facts: equal facts become counts, and everything else reads the counts.
+
+    Counting is partial before the one shuffle, so a hot value and the rows of a table travel as one row from each map
+    task. References are joined on the shuffled key. Conditions of the samples read ``n``, which keeps them above the
+    counts; a condition on the slot alone would be pushed into the scans, which would then be read again.
+    """
+    counts = facts.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    kind = _by_slot(slots, "kind")
+    flagged = counts.withColumn("known", F.lit(None).cast("boolean")) if known is None else counts.join(known, ["slot", "v"], "left")
+    bad = (
+        F.when(kind == "check", F.col("n"))
+        .when(kind == "key", F.col("n") - 1)
+        .when((kind == "reference") & F.col("v").isNotNull() & F.col("known").isNull(), F.col("n"))
+        .otherwise(0)
+    )
+    sums = flagged.groupBy("slot").agg(F.sum(bad).alias("bad_rows"), F.sum("n").alias("_rows"))
+    whole = F.max(F.when(kind == "rows", F.col("_rows"))).over(W.partitionBy(_by_slot(slots, "table")))
+    sums = sums.withColumn("total_rows", whole).where(F.col("bad_rows") > 0)
+    shown = counts.where(F.when((F.col("n") > 0) & F.col("v").isNotNull(), kind) == "check")
+    few = shown.withColumn("_rn", F.row_number().over(W.partitionBy("slot").orderBy("v"))).where(F.col("_rn") <= SAMPLE_ROWS)
+    samples = few.groupBy("slot").agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("sample"))
+    return sums.join(samples, "slot", "left").select(
+        *[_by_slot(slots, f).alias(f) for f in ("dataset", "column", "rule", "severity")], "bad_rows", "total_rows", "sample"
+    )
+
+
 def validate_tables(
     frames: Mapping[str, DataFrame], references: Mapping[str, DataFrame] | None = None,
     rules: Mapping[str, Sequence[Check]] | None = None, keys: Mapping[str, tuple] | None = None,
@@ -249,24 +318,48 @@ def validate_tables(
 ) -> DataFrame:
     """All applicable checks over all given tables as one issue frame.
 
-    Rules on columns a table does not have are skipped; referential checks run only where a reference is given.
+    Each table is scanned once for its row checks, samples, key and references, each reference once for all that look
+    into it; only ``monotone`` orders its table apart. Rules on columns a table does not have are skipped; referential
+    checks run only where a reference is given.
     """
     rules = domain_rules() if rules is None else rules
     keys = KEYS if keys is None else keys
     refs = REFERENCES if refs is None else refs
-    parts = []
-    for name, df in frames.items():
-        have = set(df.columns)
-        fit = [c for c in rules.get(name, ()) if set(c.column.split(" > ")) <= have]
-        if fit:
-            parts.append(row_issues(df, name, fit))
-        if name in keys and set(keys[name][0]) <= have:
-            parts.append(duplicate_issue(df, name, keys[name][0], keys[name][1]))
-        for column, ref, ref_column in refs.get(name, ()):
-            if references and ref in references and column in have:
-                parts.append(reference_issue(df, name, column, references[ref], ref_column))
+    facts: list[DataFrame] = []
+    apart: list[DataFrame] = []
+    slots: list[_Slot] = []
+    wanted: dict[tuple[str, str], list[int]] = {}
+    for t, (name, df) in enumerate(frames.items()):
+        have, types = set(df.columns), dict(df.dtypes)
+        checks = [c for c in rules.get(name, ()) if set(c.column.split(" > ")) <= have]
+        key, severity = keys[name] if name in keys and set(keys[name][0]) <= have else ((), "")
+        if any(types[k].startswith(NESTED) for k in key):
+            apart.append(duplicate_issue(df, name, key, severity))
+            key = ()
+        looked = [r for r in refs.get(name, ()) if references and r[1] in references and r[0] in have]
         if monotone and monotone[0] == name:
-            parts.append(backwards_issue(df, name, *monotone[1:]))
+            apart.append(backwards_issue(df, name, *monotone[1:]))
+        if not (checks or key or looked):
+            continue
+        facts.append(_table_facts(df, len(slots), checks, key, [r[0] for r in looked]))
+        slots.append(_Slot("rows", t, name))
+        slots += [_Slot("check", t, name, c.column, c.rule, c.severity) for c in checks]
+        if key:
+            slots.append(_Slot("key", t, name, "+".join(key), "duplicate records", severity))
+        for column, ref, ref_column in looked:
+            wanted.setdefault((ref, ref_column), []).append(len(slots))
+            slots.append(_Slot("reference", t, name, column, "unknown reference value", "error"))
+    known = None
+    for (ref, column), numbers in wanted.items():
+        values = references[ref].select(_text(F.col(column)).alias("v")).where("v IS NOT NULL").distinct()
+        one = values.select(F.explode(F.array(*map(F.lit, numbers))).alias("slot"), "v", F.lit(True).alias("known"))
+        known = one if known is None else known.unionByName(one)
+    parts = apart
+    if facts:
+        together = facts[0]
+        for f in facts[1:]:
+            together = together.unionByName(f)
+        parts = [fused_issues(together, slots, known), *apart]
     if not parts:
         raise ValueError("no check applies to the given tables")
     return all_issues(parts)

@@ -118,3 +118,55 @@ def test_layer_reports_absent_and_unreadable(spark, tmp_path):
     out = V.validate_layer(spark, str(tmp_path), ["vehicles", "routes", "stops"])
     rules = {(r["dataset"], r["rule"].split(" (")[0]) for r in out.collect()}
     assert rules == {("vehicles", "unknown category value"), ("routes", "unreadable dataset"), ("stops", "missing dataset")}
+
+
+def fused_and_apart(spark, monotone=None):
+    rows = [(i % 40, f"R-{i % 7}" if i % 9 else None, float(i % 11) - 2, None if i % 5 == 0 else f"V-{i % 6}", "fog" if i % 8 == 0 else "clear") for i in range(400)]
+    rows += [(3, "R-1", 5.0, "V-99", "hail")] * 300  # a hot key, a hot unknown value and a check that fails often
+    trips = spark.createDataFrame(rows, "trip_id long, route_id string, boardings double, vehicle_id string, weather string")
+    tickets = spark.createDataFrame([(i, i % 50, None) for i in range(200)] + [(None, None, None)] * 3, "ticket_id long, trip_id long, fare double")
+    vehicles = spark.createDataFrame([("V-0",), ("V-1",), ("V-1",), (None,)], "vehicle_id string")
+    rules = {"trips": [V.id_format("route_id", r"R-[0-4]"), V.in_range("boardings", 0, 400), V.in_categories("weather", V.WEATHER)], "tickets": [V.not_null("fare")]}
+    refs = {"trips": (("vehicle_id", "vehicles", "vehicle_id"),), "tickets": (("trip_id", "trips", "trip_id"), ("ticket_id", "trips", "trip_id"))}
+    references = {"vehicles": vehicles, "trips": trips}
+    fused = V.validate_tables({"trips": trips, "tickets": tickets}, references, rules, refs=refs)
+    apart = V.all_issues([
+        V.row_issues(trips, "trips", rules["trips"]), V.row_issues(tickets, "tickets", rules["tickets"]),
+        V.duplicate_issue(trips, "trips", ["trip_id"], "error"), V.duplicate_issue(tickets, "tickets", ["ticket_id"], "error"),
+        V.reference_issue(trips, "trips", "vehicle_id", vehicles, "vehicle_id"),
+        V.reference_issue(tickets, "tickets", "trip_id", trips, "trip_id"), V.reference_issue(tickets, "tickets", "ticket_id", trips, "trip_id"),
+    ])
+    return fused, apart
+
+
+def test_fused_issues_equal_the_separate_operators(spark):
+    fused, apart = fused_and_apart(spark)
+    assert fused.columns == apart.columns
+    got, want = sorted(map(tuple, fused.collect()), key=str), sorted(map(tuple, apart.collect()), key=str)
+    assert got == want and len(want) == 9
+
+
+def test_fused_validation_scans_a_table_once(spark, tmp_path):
+    for name, df in {"trips": spark.range(1000).selectExpr("id AS trip_id", "id % 3 AS route_id", "'fog' AS weather"), "routes": spark.range(2).selectExpr("id AS route_id")}.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    trips, routes = spark.read.parquet(f"{tmp_path}/trips"), spark.read.parquet(f"{tmp_path}/routes")
+    out = V.validate_tables({"trips": trips}, {"routes": routes}, {"trips": [V.in_categories("weather", V.WEATHER)]})
+    assert {(r["rule"], r["bad_rows"], r["total_rows"], r["sample"]) for r in out.collect()} == {
+        ("unknown category value", 1000, 1000, "fog"), ("unknown reference value", 333, 1000, None)}
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 2 and "ReusedExchange" in final  # trips and routes, once each
+
+
+@pytest.mark.parametrize(
+    "rows, schema, bad",
+    [
+        ([("a", "bc"), ("ab", "c"), ("1:a", None), (None, "1:a"), (None, "n"), ("n", None)], "trip_id string, seq string", 0),
+        ([(0.0, 1), (-0.0, 1), (float("nan"), 1), (float("nan"), 1), (None, 1), (None, 1)], "trip_id double, seq int", 3),
+        ([([1], 1), ([1], 1), (None, 1)], "trip_id array<int>, seq int", 1),
+    ],
+)
+def test_keys_that_look_alike(spark, rows, schema, bad):
+    df = spark.createDataFrame(rows, schema)
+    out = V.validate_tables({"stop_trips": df}, rules={}).collect()
+    assert sum(r["bad_rows"] for r in out if r["rule"] == "duplicate records") == bad
+    assert V.validate_tables({"stop_trips": df.limit(0)}, rules={}).count() == 0
