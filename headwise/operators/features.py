@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from headwise.functions.nullsafe import join_groups
 from headwise.functions import scalars as X
 from headwise.functions.quantiles import exact_quantiles
 from headwise.functions.scans import previous_values, prior_aggregates, prior_levels, trailing_means, with_group
+from headwise.session import materialise
 
 NOISE = 1e-12  # variance below this share of the mean square is rounding noise
 
@@ -397,6 +399,55 @@ def shrunk_effects(df: DataFrame, fit_on: DataFrame, value: str, groups: Sequenc
     return out.withColumn("residual", F.col(value) - F.col("signal"))
 
 
+def backfitted_effects(
+    df: DataFrame, fit_on: DataFrame, value: str, groups: Sequence[str], k: float, rounds: int = 50, tolerance: float = 1e-6
+) -> DataFrame:
+    """Signal rebuilt from shrunken group effects that hold at the same time, whatever the order of the groups.
+
+    One round is the pass of ``shrunk_effects``; the next ones correct each group's effects for the others' newest, until
+    none moves by more than ``tolerance``. Between rounds a constant moves from grouping to grouping so that the squared
+    effects are least: signals stay as they are, and large groups would take many rounds to agree on it. The limit is
+    the ridge solution with penalty ``k``. Rows of ``fit_on`` are read once: a round needs only each group's sum and count
+    and, for two groupings, how many rows each pair of groups has in common. Null keys are groups, null values are left
+    out, unseen groups contribute 0.
+    """
+    groups = list(groups)
+    overall = fit_on.agg(F.avg(value)).scalar()
+    train = fit_on.where(F.col(value).isNotNull()).withColumn("_res", F.col(value) - overall)
+    cells = materialise(train.groupBy(*groups).agg(F.sum("_res").alias("_s"), F.count("_res").alias("_n")), "effect-cells")
+    own, common = {}, {}
+    for i, g in enumerate(groups):
+        own[g] = materialise(cells.groupBy(g).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), X.dbl(0.0).alias("_old")), "effect-sums")
+        for h in groups[i + 1 :]:
+            common[g, h] = common[h, g] = materialise(cells.groupBy(g, h).agg(F.sum("_n").alias("_n")), "effect-pairs")
+    effects: dict[str, DataFrame] = {}
+    shift: dict[str, float] = {}
+    for done in range(1, rounds + 1):
+        for g in groups:
+            now = own[g]
+            for h in (h for h in groups if h != g and h in effects):
+                newest = effects[h].select(h, (F.col("_eff") + X.dbl(shift.get(h, 0.0))).alias("_eff"))
+                held = join_groups(common[g, h], newest, [h]).groupBy(g).agg(F.sum(F.col("_n") * F.col("_eff")).alias("_held"))
+                now = join_groups(now, held, [g], "left").withColumn("_s", F.col("_s") - F.coalesce("_held", X.dbl(0.0))).drop("_held")
+            if g in effects:
+                before = effects[g].select(g, (F.col("_eff") + X.dbl(shift[g])).alias("_old"))
+                now = join_groups(now.drop("_old"), before, [g], "left")
+            effects[g] = materialise(now.select(g, (F.col("_s") / (F.col("_n") + X.dbl(k))).alias("_eff"), "_old"), "effects")
+            shift.pop(g, None)
+        if done < rounds:
+            each = [effects[g].agg(F.lit(g).alias("g"), F.avg("_eff"), F.count("_eff"), F.max(F.abs(F.col("_eff") - F.col("_old")))) for g in groups]
+            stats = {r["g"]: tuple(r)[1:] for r in reduce(DataFrame.union, each).collect()}  # three numbers a grouping
+            if any(n == 0 for _, n, _ in stats.values()) or max(m for _, _, m in stats.values()) <= tolerance:
+                break
+            common_share = sum(mean for mean, _, _ in stats.values()) / sum(1 / n for _, n, _ in stats.values())
+            shift = {g: common_share / n - mean for g, (mean, n, _) in stats.items()}
+    out = df.withColumn("signal", overall)
+    for g in groups:
+        out = join_groups(out, effects[g].select(g, "_eff"), [g], "left").withColumn(f"{g}_effect", F.coalesce("_eff", X.dbl(0.0)))
+        out = out.withColumn("signal", F.col("signal") + F.col(f"{g}_effect")).drop("_eff")
+    return out.withColumn("residual", F.col(value) - F.col("signal"))
+
+
 # Provenance of the model features: A known from the timetable, B known on the day, C history before departure.
 FEATURE_PROVENANCE = {
     "A": ("direction", "hour", "weekday", "month", "minute_of_day", "is_peak_int", "is_weekend_int", "is_holiday_int",

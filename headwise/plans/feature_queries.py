@@ -355,6 +355,39 @@ def _(spark, root):
     return out.select("trip_id", "route_id_effect", "date_effect", "vehicle_id_effect", "signal", "residual")
 
 
+def backfit_sql(groups, rounds: int, fit: str) -> str:
+    """Simultaneous effects: each round's table of a grouping reads the newest of the others, shifted between rounds."""
+    out, newest = [f"fit AS ({fit})", f"g AS (SELECT avg({DELAY}) AS m FROM fit)"], {}
+    for r in range(rounds):
+        for c in groups:
+            others = [h for h in groups if h != c and h in newest]
+            less = "".join(f" - coalesce({newest[h]}.e, 0)" for h in others)
+            joins = "".join(f" LEFT JOIN {newest[h]} ON fit.{h} = {newest[h]}.{h}" for h in others)
+            name = f"{c}_{r}"
+            out.append(f"{name} AS (SELECT fit.{c}, sum({DELAY} - (SELECT m FROM g){less})/(count({DELAY}) + 5e0) AS e FROM fit{joins} GROUP BY 1)")
+            newest[c] = name
+        if r + 1 < rounds:
+            means = " + ".join(f"(SELECT avg(e) FROM {c}_{r})" for c in groups)
+            parts = " + ".join(f"(SELECT 1e0/count(*) FROM {c}_{r})" for c in groups)
+            out.append(f"s_{r} AS (SELECT ({means})/({parts}) AS l)")
+            for c in groups:
+                out.append(f"{c}_{r}s AS (SELECT {c}, e + (SELECT l FROM s_{r})/(SELECT count(*) FROM {c}_{r}) - (SELECT avg(e) FROM {c}_{r}) AS e FROM {c}_{r})")
+                newest[c] = f"{c}_{r}s"
+    total = "".join(f" + coalesce({newest[c]}.e, 0)" for c in groups)
+    shown = ", ".join(f"coalesce({newest[c]}.e, 0) AS {c}_effect" for c in groups)
+    joins = "".join(f" LEFT JOIN {newest[c]} ON t.{c} = {newest[c]}.{c}" for c in groups)
+    return f"""WITH {", ".join(out)} SELECT t.trip_id, {shown}, (SELECT m FROM g){total} AS signal, {DELAY} - ((SELECT m FROM g){total}) AS residual
+    FROM trips_core t{joins}"""
+
+
+@query("F24_backfitted_group_effects", backfit_sql(["route_id", "date", "vehicle_id"], 3, "SELECT * FROM trips_core WHERE date <= (SELECT max(date) FROM trips_core) - 7"))
+def _(spark, root):
+    core = _core(spark, root)
+    train = core.where(F.col("date") <= F.date_sub(core.agg(F.max("date")).scalar(), 7))
+    out = Fe.backfitted_effects(core, train, DELAY, ["route_id", "date", "vehicle_id"], 5.0, rounds=3, tolerance=0.0)
+    return out.select("trip_id", "route_id_effect", "date_effect", "vehicle_id_effect", "signal", "residual")
+
+
 @query(
     "F26_training_frame",
     _CELLS + """SELECT route_id, CAST(date AS VARCHAR) AS date, time_band, CAST(prev_week_boardings AS DOUBLE) AS prev_week_boardings, rolling_7d_boardings, weekday, target FROM (

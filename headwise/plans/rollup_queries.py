@@ -10,6 +10,7 @@ from headwise.operators import features as Fe
 from headwise.operators import rollups as P
 from headwise.plans import frames, model_queries
 from headwise.plans.catalog import query
+from headwise.plans.feature_queries import backfit_sql
 from headwise.plans.frames import Layer
 from headwise.plans.oracle import VIEWS
 from headwise.session import materialise
@@ -438,6 +439,18 @@ def _(spark, root):
     return P.variance_shares(_decomposed(spark, root), DELAY, ["weather_add", "signal", "residual"])
 
 
+@query(
+    "B06_variance_shares_backfitted",
+    f"""SELECT var_samp({DELAY}) AS var_total, var_samp(route_id_effect)/var_samp({DELAY}) AS route_id_effect_share, var_samp(date_effect)/var_samp({DELAY}) AS date_effect_share,
+    var_samp(signal)/var_samp({DELAY}) AS signal_share, var_samp(residual)/var_samp({DELAY}) AS residual_share
+    FROM (SELECT *, signal + residual AS {DELAY} FROM ({backfit_sql(["route_id", "date"], 3, "SELECT * FROM trips_core")}))""",
+)
+def _(spark, root):
+    core = star.trips_core(spark, root).select("route_id", "date", DELAY)
+    out = Fe.backfitted_effects(core, core, DELAY, ["route_id", "date"], 5.0, rounds=3, tolerance=0.0)
+    return P.variance_shares(out, DELAY, ["route_id_effect", "date_effect", "signal", "residual"])
+
+
 @query("B06_residual_mean_per_route_day", _EFFECTS_SQL + "SELECT route_id, CAST(date AS VARCHAR) AS date, avg(residual) AS residual_mean, count(*) AS rows FROM fx GROUP BY 1, 2")
 def _(spark, root):
     return P.residual_means(_decomposed(spark, root), ["route_id", "date"])
