@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from headwise.functions.quantiles import exact_quantile_scalar, exact_quantiles, tail_z
+from headwise.functions.quantiles import exact_column_quantiles, exact_quantile_scalar, exact_quantiles, tail_z
 
 PROBS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
 
@@ -62,3 +62,33 @@ def test_whole_frame_scalar(spark, skewed):
 
 def test_normal_tail():
     assert tail_z(0.9) == pytest.approx(1.2816, abs=1e-4)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_small_groups_are_not_sketched(spark, skewed):
+    """A sketch of a group of a few rows is larger than its rows."""
+    df = spark.createDataFrame([(i % 300, float(i)) for i in range(3000)], "k int, v double")
+    out = exact_quantiles(df, ["k"], "v", {"q": 0.95}, aggs=[F.count(F.lit(1)).alias("rows")])
+    assert "percentile_approx" not in _plan(out)
+    assert {r["k"]: (r["rows"], r["q"]) for r in out.collect()} == {
+        k: (10, pytest.approx(float(np.quantile(np.arange(k, 3000, 300), 0.95)))) for k in range(300)
+    }
+
+
+def test_column_quantiles_keep_rows_whole(spark):
+    """Several columns: NaN and null are left out, an all-null column has no row, a row never becomes one for each column."""
+    rng = np.random.default_rng(5)
+    rows = [(float(x), None if i % 3 else float(i), float("nan") if i % 2 else 4.0, None) for i, x in enumerate(rng.normal(0, 9, 4000))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    for small_group in (16, 1000, 10**9):
+        out = exact_column_quantiles(df, list("abcd"), 0.3, accuracy=1000, small_group=small_group)
+        got = {r["column"]: r["q"] for r in out.collect()}
+        assert got == {
+            "a": pytest.approx(float(np.quantile([r[0] for r in rows], 0.3))),
+            "b": pytest.approx(float(np.quantile([r[1] for r in rows if r[1] is not None], 0.3))),
+            "c": 4.0,
+        }
+        assert "Join" not in _plan(out)
