@@ -53,23 +53,52 @@ def unknown_rows(df: DataFrame, column: str, reference: DataFrame, ref_column: s
     return df.join(reference.select(F.col(ref_column).alias(column)).distinct(), column, "left_anti")
 
 
+def first_of_pool(pool: DataFrame, column: str, group: str, pool_order: str) -> DataFrame:
+    """The first pool member of each group."""
+    return pool.groupBy(group).agg(F.min_by(column, pool_order).alias("_pool"))
+
+
 def repair_from_pool(
-    df: DataFrame, column: str, valid: DataFrame, group: str, pool: DataFrame, pool_order: str
+    df: DataFrame, column: str, valid: DataFrame, group: str, pool: DataFrame, pool_order: str, keep=None
 ) -> DataFrame:
-    """A key missing from ``valid`` becomes its group's first pool member, else the first valid key overall."""
-    known = valid.select(F.col(column)).distinct().withColumn("_known", F.lit(True))
-    first = pool.groupBy(group).agg(F.min_by(column, pool_order).alias("_pool"))
+    """A key missing from ``valid`` becomes its group's first pool member, else the first valid key overall.
+
+    Rows without a key match nothing, so the join deals them into pieces. ``keep(df, name)`` may persist the row for each
+    group, whose size Spark then knows before it plans the join.
+    """
+    known = valid.select(F.col(column), F.lit(0).alias("_piece")).distinct().withColumn("_known", F.lit(True))
+    first = first_of_pool(pool, column, group, pool_order)
+    first = keep(first, "pool_first") if keep is not None else first
     overall = valid.agg(F.min(column)).scalar()
-    out = df.join(known, column, "left").join(first, group, "left")
+    dealt = df.withColumn("_piece", F.when(F.col(column).isNull(), _piece(df)).otherwise(0))
+    out = dealt.join(known, [column, "_piece"], "left").join(first, group, "left")
     repaired = F.coalesce(F.col("_pool"), overall)
     fixed = F.when(F.col(column).isNull(), overall).when(F.col("_known").isNull(), repaired).otherwise(F.col(column))
-    return out.withColumn(column, fixed).drop("_known", "_pool")
+    return out.withColumn(column, fixed).drop("_known", "_pool", "_piece")
+
+
+PIECES = 64
 
 
-def lookup_chain(df: DataFrame, key: str, reference: DataFrame, value: str, default) -> DataFrame:
-    """Reference value, else the row's own, else a constant."""
+def _piece(df: DataFrame) -> Column:
+    """Number of the piece that a row of a frequent key falls into, by all its columns."""
+    return F.pmod(F.xxhash64(*df.columns), F.lit(PIECES)).cast("int")
+
+
+def lookup_chain(df: DataFrame, key: str, reference: DataFrame, value: str, default, frequent: DataFrame | None = None) -> DataFrame:
+    """Reference value, else the row's own, else a constant.
+
+    ``frequent`` lists keys that a large share of the rows may hold: their rows are dealt into pieces for the join.
+    """
     ref = reference.select(key, F.col(value).alias("_ref"))
-    out = df.join(ref, key, "left")
+    on = [key]
+    if frequent is not None:
+        often = frequent.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_often", F.lit(True))
+        copies = F.sequence(F.lit(0), F.when(F.col("_often"), PIECES - 1).otherwise(0))
+        ref = ref.join(often, key, "left").select(key, "_ref", F.explode(copies).alias("_piece"))
+        df = df.join(often, key, "left").withColumn("_piece", F.when(F.col("_often"), _piece(df)).otherwise(0)).drop("_often")
+        on.append("_piece")
+    out = df.join(ref, on, "left").drop("_piece")
     own = F.col(value) if value in df.columns else F.lit(None)
     return out.withColumn(value, F.coalesce("_ref", own, F.lit(default))).drop("_ref")
 
@@ -255,9 +284,15 @@ def clean_trips(
     """Repair one raw trip table: ids, duplicates, times, vehicles, measures, categories.
 
     ``stage(df, name)`` persists the rows before imputation, so that the medians and the repair read them back
-    instead of repeating the joins above.
+    instead of repeating the joins above. It also persists the route ids and the vehicles that a repair gives to many rows, so
+    that Spark knows how few they are.
     """
     log = log or CleaningLog(raw.sparkSession)
+    frequent = None
+    if stage is not None:
+        routes = stage(routes.select("route_id").distinct(), "trip_routes")
+        heads = first_of_pool(pool, "vehicle_id", "route_id", "pool_order").select(F.col("_pool").alias("vehicle_id"))
+        frequent = stage(heads.unionByName(vehicles.agg(F.min("vehicle_id").alias("vehicle_id"))), "trip_repairs")
     df = canonical_ids(raw, "route_id", routes, "route_id")
     df, all_rows = log.counted(df)
     df, kept = log.counted(keep_first(df, ["trip_id"], order))
@@ -273,8 +308,8 @@ def clean_trips(
     )
     df, routed = log.counted(known_only(df, "route_id", routes, "route_id"))
     log.dropped("trips", "drop", "drop trips on unknown route", timed, routed)
-    df = repair_from_pool(df, "vehicle_id", vehicles, "route_id", pool, "pool_order")
-    df = lookup_chain(df, "vehicle_id", vehicles, "capacity", t.default_capacity)
+    df = repair_from_pool(df, "vehicle_id", vehicles, "route_id", pool, "pool_order", keep=stage)
+    df = lookup_chain(df, "vehicle_id", vehicles, "capacity", t.default_capacity, frequent)
     measures = [
         "departure_delay_min", "occupancy_avg_pct", "occupancy_max_pct", "boardings", "alightings", "distance_km",
         "scheduled_travel_min", "actual_travel_min",
