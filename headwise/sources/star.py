@@ -138,33 +138,56 @@ def order_trips(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def raw_stop_visits(spark: SparkSession, root: str) -> DataFrame:
-    """Stop visits as delivered: (trip_id, seq) is not unique."""
-    li = table(spark, root, "lineitem")
-    q = F.col("l_quantity")
-    delay = F.col("l_extendedprice") / 5000 - 5
-    return li.select(
+def _visit_sources(spark: SparkSession, root: str) -> DataFrame:
+    """The stored columns that all columns of a stop visit follow from, those of few values side by side (rows shuffle smaller so)."""
+    return table(spark, root, "lineitem").select(
         F.col("l_orderkey").alias("trip_id"),
-        F.col("l_linenumber").alias("seq"),
         F.col("l_partkey").alias("stop_id"),
-        (F.col("l_linenumber") * 3).alias("hour"),
-        q.alias("boarded"),
-        (q * (F.lit(1) - F.lit(5) * F.col("l_discount"))).alias("alighted"),
-        delay.alias("arr_delay_min"),
-        (F.lit(25.0) + X.dbl(2.5) * q).alias("dwell_sec"),
-        (q / 45).alias("occupancy_after"),
-        q.alias("onboard_after"),
         F.col("l_suppkey").alias("visit_ref"),
-        F.col("l_tax").alias("tax"),
+        F.col("l_extendedprice").alias("_price"),
+        F.col("l_linenumber").alias("seq"),
         F.to_date("l_shipdate").alias("ship_date"),
+        F.col("l_quantity").alias("_q"),
+        F.col("l_discount").alias("_discount"),
+        F.col("l_tax").alias("tax"),
     )
 
 
+def _visit_columns() -> dict[str, Column]:
+    q = F.col("_q")
+    return {
+        "trip_id": F.col("trip_id"),
+        "seq": F.col("seq"),
+        "stop_id": F.col("stop_id"),
+        "hour": F.col("seq") * 3,
+        "boarded": q,
+        "alighted": q * (F.lit(1) - F.lit(5) * F.col("_discount")),
+        "arr_delay_min": F.col("_price") / 5000 - 5,
+        "dwell_sec": F.lit(25.0) + X.dbl(2.5) * q,
+        "occupancy_after": q / 45,
+        "onboard_after": q,
+        "visit_ref": F.col("visit_ref"),
+        "tax": F.col("tax"),
+        "ship_date": F.col("ship_date"),
+    }
+
+
+def raw_stop_visits(spark: SparkSession, root: str) -> DataFrame:
+    """Stop visits as delivered: (trip_id, seq) is not unique."""
+    return _visit_sources(spark, root).select(*[c.alias(n) for n, c in _visit_columns().items()])
+
+
 def stop_facts(spark: SparkSession, root: str) -> DataFrame:
-    """Stop visits with the context of their trip and stop."""
-    sv = raw_stop_visits(spark, root).withColumn("time_band", X.time_band("hour"))
-    return sv.join(order_trips(spark, root).select("trip_id", "route_id", "date"), "trip_id", "left").join(
-        stops(spark, root).select("stop_id", "stop_name", "zone"), "stop_id", "left"
+    """Stop visits with the context of their trip and stop.
+
+    The joins move the stored columns; what follows from them is computed behind the joins.
+    """
+    context, place = order_trips(spark, root).select("trip_id", "route_id", "date"), stops(spark, root).select("stop_id", "stop_name", "zone")
+    sv = _visit_sources(spark, root).join(context, "trip_id", "left").join(place, "stop_id", "left")
+    own = _visit_columns()
+    order = ["stop_id", "trip_id", *[n for n in own if n not in ("stop_id", "trip_id")]]
+    return sv.select(
+        *[own[n].alias(n) for n in order], X.time_band(own["hour"]).alias("time_band"), "route_id", "date", "stop_name", "zone"
     )
 
 
