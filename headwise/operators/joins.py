@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,30 @@ def add_context(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> D
     return left.join(right.select(*keep), on, "left")
 
 
-def join_diagnostics(source: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: source rows, merged rows, rows beyond the first per key, rows with a missing value."""
+GAP = "has_gap"
+
+
+def gap_flag(df: DataFrame, keep: Iterable[str]) -> DataFrame:
+    """The columns to keep, and whether any column of the row is null."""
+    return df.select(*sorted(keep), _any_null(df).alias(GAP))
+
+
+def add_gaps(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Left join of two flagged frames into one flag. A row without a match lacks the whole right side, which is a gap."""
+    other = right.withColumnRenamed(GAP, "_other")
+    gap = F.col(GAP) | F.coalesce("_other", F.lit(True))
+    return left.join(other, on, "left").select(*[c for c in left.columns if c != GAP], gap.alias(GAP))
+
+
+def join_diagnostics(source: DataFrame, merged: DataFrame, keys: Sequence[str], gap: str | None = None) -> DataFrame:
+    """One row: source rows, merged rows, rows beyond the first per key, rows with a missing value.
+
+    ``gap`` names a flag of the merged rows that tells of a missing value, where their other columns were left out.
+    """
     n_src = source.agg(F.count(F.lit(1))).scalar()
     groups = merged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        X.count_if(_any_null(merged)).alias("_nulls"),
+        X.count_if(F.col(gap) if gap else _any_null(merged)).alias("_nulls"),
     )
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("merged_rows"),

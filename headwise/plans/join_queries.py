@@ -30,7 +30,8 @@ def _(spark, root):
     count(*) FILTER (WHERE route_id IS NULL OR date IS NULL OR stop_name IS NULL OR zone IS NULL) AS rows_with_missing_context FROM stop_facts""",
 )
 def _(spark, root):
-    return J.join_diagnostics(star.raw_stop_visits(spark, root), star.stop_facts(spark, root), ["trip_id", "seq"])
+    keys = ["trip_id", "seq"]
+    return J.join_diagnostics(star.raw_stop_visits(spark, root), star.stop_facts(spark, root, gap_keys=keys), keys, J.GAP)
 
 
 @query(

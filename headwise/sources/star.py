@@ -5,12 +5,15 @@ Every frame is a projection or join of the given Parquet tables, so all work gro
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise import settings as S
 from headwise.functions import scalars as X
 from headwise.functions.scans import micros_chunk, previous_values
+from headwise.operators import joins as J
 from headwise.operators.features import headway
 
 
@@ -177,12 +180,18 @@ def raw_stop_visits(spark: SparkSession, root: str) -> DataFrame:
     return _visit_sources(spark, root).select(*[c.alias(n) for n, c in _visit_columns().items()])
 
 
-def stop_facts(spark: SparkSession, root: str) -> DataFrame:
+def stop_facts(spark: SparkSession, root: str, gap_keys: Sequence[str] = ()) -> DataFrame:
     """Stop visits with the context of their trip and stop.
 
-    The joins move the stored columns; what follows from them is computed behind the joins.
+    The joins move the stored columns; what follows from them is computed behind the joins. With ``gap_keys``, only
+    these columns of the visits come back, and ``has_gap`` for a null in any column of the row: the joins then move
+    one flag in place of the columns.
     """
     context, place = order_trips(spark, root).select("trip_id", "route_id", "date"), stops(spark, root).select("stop_id", "stop_name", "zone")
+    if gap_keys:
+        visits = J.gap_flag(raw_stop_visits(spark, root).withColumn("time_band", X.time_band("hour")), {*gap_keys, "trip_id", "stop_id"})
+        facts = J.add_gaps(visits, J.gap_flag(context, ["trip_id"]), "trip_id")
+        return J.add_gaps(facts, J.gap_flag(place, ["stop_id"]), "stop_id").select(*gap_keys, J.GAP)
     sv = _visit_sources(spark, root).join(context, "trip_id", "left").join(place, "stop_id", "left")
     own = _visit_columns()
     order = ["stop_id", "trip_id", *[n for n in own if n not in ("stop_id", "trip_id")]]

@@ -104,3 +104,12 @@ def test_stop_facts_move_stored_columns_only(spark, root):
     ]
     assert Counter(map(tuple, out.collect())) == Counter(expected_facts())
     assert widest_exchange(out) <= 11
+
+
+def test_row_guard_moves_a_flag(spark, root):
+    out = load()["J02_join_row_guard"].build(spark, root)
+    facts = expected_facts()
+    groups = Counter((f[1], f[2]) for f in facts)
+    want = (len(LINES), len(facts), len(facts) - len(groups), sum(None in f for f in facts))
+    assert tuple(out.first()) == want and 0 < want[3] < want[1]
+    assert widest_exchange(out) <= 4
