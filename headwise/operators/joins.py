@@ -80,12 +80,19 @@ def stop_facts(visits: DataFrame, trip_context: DataFrame, stops: DataFrame) ->
 
 
 def passenger_flow(rides: DataFrame, trip_context: DataFrame, stops: DataFrame, board: str, alight: str) -> DataFrame:
-    """Rides with trip context and the zone of both ends."""
-    out = add_context(rides, trip_context, "trip_id")
+    """Rides with trip context and the zone of both ends.
+
+    The zones come first: the context, the widest of the three, is then moved by no later join.
+    """
+    context = trip_context.select(*[c for c in trip_context.columns if c == "trip_id" or c not in rides.columns])
+    out = rides
     for end, name in ((board, "boarding_zone"), (alight, "alighting_zone")):
         zone = stops.select(F.col("stop_id").alias(end), F.col("zone").alias(name))
         out = out.join(zone, end, "left")
-    return out
+    keys = [alight, board, "trip_id"]
+    own = [c for c in rides.columns if c not in keys]
+    added = [c for c in context.columns if c != "trip_id"]
+    return out.join(context, "trip_id", "left").select(*keys, *own, *added, "boarding_zone", "alighting_zone")
 
 
 def route_zones(route_stops: DataFrame, stops: DataFrame) -> DataFrame:

@@ -113,3 +113,14 @@ def test_row_guard_moves_a_flag(spark, root):
     want = (len(LINES), len(facts), len(facts) - len(groups), sum(None in f for f in facts))
     assert tuple(out.first()) == want and 0 < want[3] < want[1]
     assert widest_exchange(out) <= 4
+
+
+def test_passenger_flow_moves_the_trip_context_last(spark, root):
+    out = load()["J05_passenger_flow"].build(spark, root)
+    assert out.columns == ["alight_stop", "board_stop", "trip_id", "fare", "route_id", "date", "boarding_zone", "alighting_zone"]
+    want = Counter(
+        (ref, stop, trip, price, *t, b[1], a[1])
+        for trip, _, stop, ref, _, price, *_ in LINES for t in trips(trip) for b in places(stop) for a in places(ref)
+    )
+    assert Counter(map(tuple, out.collect())) == want
+    assert widest_exchange(out) <= 6
