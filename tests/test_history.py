@@ -12,6 +12,7 @@ from headwise import session
 from headwise.functions import scans
 from headwise.functions.scans import micros_chunk
 from headwise.operators import features as Fe
+from headwise.operators import models as Mo
 from headwise.plans import frames
 from headwise.sources import star
 
@@ -109,3 +110,26 @@ def test_scratch_tables_end_with_their_context(spark, tmp_path, monkeypatch):
     with session.freed_shuffles(spark), session.freed_shuffles(spark):
         assert spark.conf.get(session._FREE) == "true"
     assert spark.conf.get(session._FREE, None) == before
+
+
+def test_many_rows_are_fitted_one_by_one(spark):
+    assert Mo.fits_at_once(spark.range(1000), ["x"]) == 4
+    assert Mo.fits_at_once(spark.range(10**9), ["x"]) == 1
+
+
+def test_the_sweep_holds_one_fold_at_a_time(spark):
+    from contextlib import contextmanager
+
+    open_now, seen = [], []
+
+    @contextmanager
+    def held(fold):
+        open_now.append(1)
+        seen.append(len(open_now))
+        yield fold
+        open_now.pop()
+
+    x = spark.range(300).select((F.col("id") % 3).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("target"))
+    some = [Mo.Candidate("logistic", {"maxIter": n}) for n in (1, 5)]
+    out = Mo.sweep([(x, x), (x, x), (x, x)], ["x"], ("a", "b"), some, top=1, held=held)
+    assert seen == [1, 1, 1] and [r[4] for r in out].count(2) == 1 and out[0][1] > 0.6
