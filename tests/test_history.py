@@ -133,3 +133,13 @@ def test_the_sweep_holds_one_fold_at_a_time(spark):
     some = [Mo.Candidate("logistic", {"maxIter": n}) for n in (1, 5)]
     out = Mo.sweep([(x, x), (x, x), (x, x)], ["x"], ("a", "b"), some, top=1, held=held)
     assert seen == [1, 1, 1] and [r[4] for r in out].count(2) == 1 and out[0][1] > 0.6
+
+
+def test_repeats_of_the_importance_are_moved_one_by_one(spark, monkeypatch):
+    moved, pair = [], Mo.with_donors
+    monkeypatch.setattr(Mo, "with_donors", lambda df, key, repeats, *more: moved.append(list(repeats)) or pair(df, key, repeats, *more))
+    df = spark.range(200).select("id", F.col("id").cast("double").alias("x"), F.when(F.col("id") < 90, "a").otherwise("b").alias("target"))
+    model = Mo.fit_classifier(df, ["x"], ("a", "b"), Mo.Candidate("random_forest", {"numTrees": 3, "maxDepth": 3}))
+    assert Mo.permutation_importance(model, df, "id", ["x"], repeats=3)[0][1] > 0.1 and moved == [[0], [1], [2]]
+    alone = pair(df, "id", [1], 2, "x").select("id", "_donor")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, pair(df, "id", 3, 2, "x").where("_r = 1").select("id", "_donor").collect()))
