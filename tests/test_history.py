@@ -122,16 +122,17 @@ def test_the_sweep_holds_one_fold_at_a_time(spark):
 
     open_now, seen = [], []
 
-    @contextmanager
-    def held(fold):
-        open_now.append(1)
-        seen.append(len(open_now))
-        yield fold
-        open_now.pop()
+    class Fold(tuple):
+        @contextmanager
+        def held(self):
+            open_now.append(1)
+            seen.append(len(open_now))
+            yield self
+            open_now.pop()
 
     x = spark.range(300).select((F.col("id") % 3).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("target"))
-    some = [Mo.Candidate("logistic", {"maxIter": n}) for n in (1, 5)]
-    out = Mo.sweep([(x, x), (x, x), (x, x)], ["x"], ("a", "b"), some, top=1, held=held)
+    some = [Mo.Candidate("random_forest", {"numTrees": n, "maxDepth": 2}) for n in (2, 3)]
+    out = Mo.sweep([Fold((x, x)) for _ in range(3)], ["x"], ("a", "b"), some, top=1)
     assert seen == [1, 1, 1] and [r[4] for r in out].count(2) == 1 and out[0][1] > 0.6
 
 
